@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_texts
 from tidemark.llm.plain_text import plain_forms
+from tidemark.llm.spam_pages import page_scores, spam_pages
 from tidemark.llm.termfreq import marked, term_frequency
 from tidemark.session import table
 
@@ -34,12 +35,22 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_scores(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p5_found": p5_found,
         "p5_frequency": p5_frequency,
         "p6_found": p6_found,
         "p7_ids": p7_ids,
+        "p9_found": p9_found,
+        "p9_scores": p9_scores,
     }
 
 
