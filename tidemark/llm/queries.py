@@ -8,12 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_texts
+from tidemark.llm.consensus import Consensus
+from tidemark.llm.leaks import item_leaks
 from tidemark.llm.plain_text import plain_forms
 from tidemark.llm.spam_pages import page_scores, spam_pages
 from tidemark.llm.termfreq import marked, term_frequency
 from tidemark.session import table
 
 
+def _consensus(spark: SparkSession, sf_dir: str) -> Consensus:
+    return Consensus(table(spark, sf_dir, "audit_votes_7cprime"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _consensus(spark, sf_dir).items().filter(F.col("annotators") >= 3)
+    return items.select(F.col("item").alias("aggregate_key"), F.col("status").alias("status_suggestion"))
+
+
+def p3_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _consensus(spark, sf_dir)
+    named = {"item": "aggregate_key", "status": "status_suggestion", "volatility": "volatility_estimate", "review": "needs_human_review"}
+    return c.items().withColumnsRenamed(named).withColumn("alpha", F.lit(c.alpha).cast("double"))
+
+
+def p3_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).annotators().withColumnRenamed("annotator", "auditor_id")
+
+
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked(term_frequency(table(spark, sf_dir, "w2_records"), "token_norm", "emission_id", "count", "doc_freq"))
 
@@ -35,6 +56,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_coverage(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return item_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
@@ -45,10 +74,15 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p3_found": p3_found,
+        "p3_items": p3_items,
+        "p3_annotators": p3_annotators,
         "p5_found": p5_found,
         "p5_frequency": p5_frequency,
         "p6_found": p6_found,
         "p7_ids": p7_ids,
+        "p8_found": p8_found,
+        "p8_coverage": p8_coverage,
         "p9_found": p9_found,
         "p9_scores": p9_scores,
     }
