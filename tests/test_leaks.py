@@ -1,0 +1,31 @@
+"""Evaluation items that share passages with each other."""
+
+from tidemark.llm.leaks import ItemIndex, tokens
+
+PASSAGE = (
+    "The harbour town kept its ledgers in a stone house above the quay, and every spring the clerks counted the "
+    "barrels of salted herring twice before the first ships were allowed to leave for the northern islands."
+)
+FIRST = f"{PASSAGE} Why did the clerks count the barrels twice each spring?"
+SECOND = f"{PASSAGE} Where were the ledgers of the town kept?"
+OTHER = "A quite different item about the way glass blowers cool their vessels slowly over several days in sand."
+
+
+def found(items: list[str], doc: str) -> set[int]:
+    return {i for i, _ in ItemIndex(list(range(len(items))), items, 0.45).held(tokens(doc))}
+
+
+def test_items_that_share_the_matched_passage():
+    assert found([FIRST, SECOND, OTHER], f"Some words before. {FIRST} Some words after.") == {0, 1}
+
+
+def test_item_inside_a_longer_match_of_another():
+    assert found([FIRST, PASSAGE, OTHER], f"Some words before. {FIRST} And after.") == {0, 1}
+
+
+def test_item_that_is_a_suffix_of_a_longer_match():
+    assert found([f"Read this first with care: {PASSAGE}", PASSAGE, OTHER], f"Read this first with care: {PASSAGE} End.") == {0, 1}
+
+
+def test_short_shared_phrase_is_no_leak():
+    assert found([FIRST, OTHER], "The harbour town kept its ledgers in a stone house, a visitor wrote.") == set()

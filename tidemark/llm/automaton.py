@@ -107,3 +107,29 @@ class SuffixAutomaton:
         if size >= least:
             out.append((len(tokens), size, state))
         return out
+
+    def grams(self, tokens: list, least: list[int]) -> set[int]:
+        """States of the substrings of ``tokens`` that end after token i and are ``least[i]`` long, where they occur at all.
+
+        Unlike ``matches`` this goes up to the short state, which every sequence that holds the substring shares,
+        also where some other sequence matches further.
+        """
+        out = set()
+        state = size = 0
+        nxt, link, length = self.next, self.link, self.length
+        for i, token in enumerate(tokens):
+            to = nxt[state].get(token)
+            while to is None and state:
+                state = link[state]
+                size = length[state]
+                to = nxt[state].get(token)
+            if to is None:
+                continue
+            state = to
+            size += 1
+            if size >= least[i]:
+                s = state
+                while length[link[s]] >= least[i]:
+                    s = link[s]
+                out.add(s)
+        return out

@@ -1,13 +1,12 @@
 """Evaluation items that leak into documents, found with a suffix automaton of the items.
 
 The items (a bounded set, checked) form one automaton that every task gets; documents are streamed past
-it whole. The maximal matches of a document are chained in order for every item they touch, small changes
-inside a chain are bridged, and an item counts as leaked where its chained tokens cover enough of its text.
+it whole. Every item that shares a long passage with a document is matched with it by itself, its maximal
+matches are chained in order, small changes inside a chain are bridged, and an item counts as leaked where its chained tokens cover enough of its text.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,10 +51,25 @@ class ItemIndex:
         self.tokens = [tokens(t) for t in texts]
         self.automaton = SuffixAutomaton(self.tokens)
         self.share = share
+        # Items of a state, and the automaton of an item alone: made on first use and kept.
+        self._holders: dict[int, frozenset[int]] = {}
+        self._alone: dict[int, SuffixAutomaton] = {}
         self.size = [float(sizes(seq)[-1]) for seq in self.tokens]
         # A token weighs its characters, so that coverage is a share of the text.
         self.weight = [np.concatenate([[0], np.cumsum([len(t) for t in seq])]) for seq in self.tokens]
 
+    def _items(self, state: int) -> frozenset[int]:
+        got = self._holders.get(state)
+        if got is None:
+            got = self._holders[state] = frozenset(self.automaton.ends(state)[:, 0].tolist())
+        return got
+
+    def _own(self, item: int) -> SuffixAutomaton:
+        got = self._alone.get(item)
+        if got is None:
+            got = self._alone[item] = SuffixAutomaton([self.tokens[item]])
+        return got
+
     def _chained(self, item: int, spans: list[tuple[int, int, int, bool]]) -> float:
         """Best weight of spans (document start, item start, length, whether it may stand alone) in the same order in both texts."""
         w = self.weight[item]
@@ -88,30 +102,23 @@ class ItemIndex:
 
     def held(self, doc: list[str]) -> list[tuple[int, float]]:
         """Items (index, coverage) of which ``doc`` holds at least the share."""
-        found = self.automaton.matches(doc, LEAST)
-        if not found:
-            return []
-        # Anchors pick the items a document could hold: enough of the item in long matches.
+        # Candidates share a passage as long as an anchor; each is then matched by itself, since a longer
+        # match of another item says nothing about how far this one goes.
         run = sizes(doc)
-        anchored: dict[int, float] = defaultdict(float)
-        for end, size, state in found:
-            words = float(run[end] - run[end - size])
-            if words >= ANCHOR:
-                for item in np.unique(self.automaton.ends(state)[:, 0]):
-                    anchored[int(item)] += words
-        picked = {i for i, n in anchored.items() if n >= 0.25 * self.share * self.size[i]}
-        if not picked:
-            return []
-        spans: dict[int, list] = defaultdict(list)
-        for end, size, state in found:
-            for item, at in self.automaton.ends(state):
-                item = int(item)
-                if item in picked:
-                    alone = bool(run[end] - run[end - size] >= ALONE)
-                    spans[item].append((end - size, int(at) - size, size, alone))
+        near = np.arange(1, len(run)) - (np.searchsorted(run, run[1:] - ANCHOR + 1e-9, "right") - 1)
+        near[run[1:] < ANCHOR - 1e-9] = len(run)
+        picked: set[int] = set()
+        for state in self.automaton.grams(doc, near.tolist()):
+            picked |= self._items(state)
         out = []
-        for item, s in spans.items():
-            c = self._chained(item, s)
+        for item in sorted(picked):
+            own = self._own(item)
+            found = [(end, size, state, float(run[end] - run[end - size])) for end, size, state in own.matches(doc, LEAST)]
+            # Enough of the item must lie in long matches.
+            if sum(words for *_, words in found if words >= ANCHOR - 1e-9) < 0.25 * self.share * self.size[item]:
+                continue
+            spans = [(end - size, int(at) - size, size, words >= ALONE - 1e-9) for end, size, state, words in found for _, at in own.ends(state)]
+            c = self._chained(item, spans)
             if c >= self.share:
                 out.append((item, c))
         return out
