@@ -1,0 +1,18 @@
+"""Pairs of nearly equal direction against all pairs."""
+
+import numpy as np
+from vectors_by_hand import directions
+
+from tidemark.llm.nearest import similar_pairs
+
+
+def test_no_link_is_lost_where_a_vector_has_many_partners(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(20)
+    m = base + 0.05 * rng.standard_normal((120, 20))
+    rows = [(f"v{i:03d}", 1, {f"d{j}": float(x) for j, x in enumerate(v)}) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "id string, at int, v map<string,double>")
+    found = {(r.a, r.b) for r in similar_pairs(df, "id", "v", "at", 0.9).collect()}
+    ids, u = directions(rows)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
+    assert found == {(ids[x], ids[y]) for x, y in zip(a, b)} and len(found) > 5000
