@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_texts
 from tidemark.llm.consensus import Consensus
+from tidemark.llm.islands import islands
 from tidemark.llm.leaks import item_leaks
 from tidemark.llm.plain_text import plain_forms
 from tidemark.llm.spam_pages import page_scores, spam_pages
@@ -16,6 +17,11 @@ from tidemark.llm.termfreq import marked, term_frequency
 from tidemark.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = islands(table(spark, sf_dir, "w4_records"), "article_id", "resonance_vector", "computed_at", 0.70)
+    return found.select(F.col("id").alias("article_id"), F.col("first").alias("island_first"))
+
+
 def _consensus(spark: SparkSession, sf_dir: str) -> Consensus:
     return Consensus(table(spark, sf_dir, "audit_votes_7cprime"))
 
@@ -74,6 +80,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_items": p3_items,
         "p3_annotators": p3_annotators,
