@@ -3,8 +3,20 @@
 import numpy as np
 from vectors_by_hand import directions
 
+import __spark_entry__
 from tidemark.llm.nearest import similar_pairs
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_p1_found_against_all_pairs(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/w4_records.parquet").select("article_id", "computed_at", "resonance_vector").collect()]
+    ids, m = directions(rows)
+    a, b = np.nonzero(np.triu(m @ m.T >= 0.999, 1))
+    wished = {(ids[x], ids[y]) for x, y in zip(a, b)}
+    found = [tuple(r) for r in __spark_entry__.queries()["p1_found"](spark, SMALL).collect()]
+    assert wished and len(found) == len(set(found)) and set(found) == wished
+
 
 def test_no_link_is_lost_where_a_vector_has_many_partners(spark):
     rng = np.random.default_rng(5)

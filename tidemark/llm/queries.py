@@ -11,12 +11,18 @@ from tidemark.llm.bpe import encode_texts
 from tidemark.llm.consensus import Consensus
 from tidemark.llm.islands import islands
 from tidemark.llm.leaks import item_leaks
+from tidemark.llm.nearest import similar_pairs
 from tidemark.llm.plain_text import plain_forms
 from tidemark.llm.spam_pages import page_scores, spam_pages
 from tidemark.llm.termfreq import marked, term_frequency
 from tidemark.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similar_pairs(table(spark, sf_dir, "w4_records"), "article_id", "resonance_vector", "computed_at", 0.999)
+    return pairs.select(F.col("a").alias("article_a"), F.col("b").alias("article_b"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = islands(table(spark, sf_dir, "w4_records"), "article_id", "resonance_vector", "computed_at", 0.70)
     return found.select(F.col("id").alias("article_id"), F.col("first").alias("island_first"))
@@ -80,6 +86,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_items": p3_items,
