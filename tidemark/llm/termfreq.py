@@ -1,8 +1,7 @@
 """Frequency of every distinct term by recursive radix spilling.
 
 Rows are spread over tasks by their emission (so a heavy term never lands in one task). Inside a task,
-terms are radix-partitioned by hash bits to files once they outgrow memory, oversized partitions are
-split again by the next bits, and every partition is aggregated out-of-core by DuckDB. The partial
+terms are radix-partitioned by hash bits to files, oversized partitions are split again by the next bits, and every partition is aggregated out-of-core by DuckDB. The partial
 counts of the tasks, one row per term and task, are then added up.
 """
 
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.session import shared_dir, task_scratch, written
 
 RADIX_BITS = 4
-#: Rows a task aggregates in one piece before it splits by further hash bits.
+#: Rows a task holds before it writes them to its pieces, and rows of a piece that is split by further hash bits.
 PIECE_ROWS = 1 << 19
 OUT = pa.schema([("term", pa.string()), ("emissions", pa.int64()), ("total", pa.int64()), ("records", pa.int64())])
 #: One row per emission first (redelivered ones are equal), then one row per term.
@@ -58,15 +57,12 @@ def _split(t: pa.Table, depth: int, folder: str, files: dict) -> None:
         files[p][2] += piece.num_rows
 
 
-def _aggregate(piece, folder: str) -> pa.Table:
+def _aggregate(piece: str, folder: str) -> pa.Table:
     import duckdb
 
     con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": folder})
     try:
-        if isinstance(piece, str):
-            con.execute(f"create view piece as select * from read_parquet('{piece}')")
-        else:
-            con.register("piece", piece)
+        con.execute(f"create view piece as select * from read_parquet('{piece}')")
         return con.sql(SQL).to_arrow_table().cast(OUT)
     finally:
         con.close()
@@ -103,12 +99,9 @@ def _task(shared: str, piece_rows: int):
                 if n > piece_rows:
                     _split(pa.Table.from_batches(held), 0, folder, files)
                     held, n = [], 0
-            if files:
-                if held:
-                    _split(pa.Table.from_batches(held), 0, folder, files)
-                yield from _spilled(files, 0, folder, piece_rows)
-            elif n:
-                yield from _aggregate(pa.Table.from_batches(held), folder).to_batches()
+            if held:
+                _split(pa.Table.from_batches(held), 0, folder, files)
+            yield from _spilled(files, 0, folder, piece_rows)
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
