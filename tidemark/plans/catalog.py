@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import skew_queries
+from tidemark.plans import skew_queries, stats_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [skew_queries]
+MODULES = [skew_queries, text_queries, stats_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p4_found"](spark, sf_dir)
+    """Characteristic tokens of each condition."""
+    return queries()["w3_specific_tokens"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
