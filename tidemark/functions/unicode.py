@@ -6,9 +6,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc(v: pa.Array) -> pa.Array:
     return pc.utf8_normalize(v, form="NFKC")
 
