@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import island_queries, segment_queries, skew_queries, stats_queries, text_queries
+from tidemark.plans import audit_queries, event_queries, island_queries, registry_queries, segment_queries, skew_queries, stats_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [skew_queries, text_queries, segment_queries, stats_queries, island_queries]
+MODULES = [skew_queries, text_queries, segment_queries, stats_queries, island_queries, event_queries, registry_queries, audit_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
