@@ -1,27 +1,31 @@
 """Consensus of several annotators by iteratively reweighted voting.
 
-Weighted consensus per item and leave-one-out smoothed accuracy per annotator alternate until the
-accuracies are stable. Votes stay partitioned by item throughout; what moves per round is one partial
-sum per annotator.
+Two steps alternate until the weights are stable: every item's weighted consensus, and every annotator's accuracy,
+measured on the consensus of the others (the annotator's own vote left out) and smoothed towards the pooled accuracy.
+The votes of an item are packed into one row once; a round then reads the rows where they lie, and all that moves is
+one partial sum per annotator and task.
 """
 
 from __future__ import annotations
 
-from math import log
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, small
+from tidemark.session import maybe_broadcast, written
 
 #: The statuses an annotator may give.
 STATUSES = ("candidate", "defer", "quarantine")
 K = len(STATUSES)
 #: Pseudo-votes that draw an annotator's accuracy to the pooled one, and the least share taken for possible.
 SMOOTH, LOW = 4.0, 0.005
-ROUNDS, STABLE = 30, 1e-4
-#: Annotators are people: their accuracies are sent to every task, and more of them are an error.
-ANNOTATORS = 100_000
+#: Rounds after which a consensus that still moves is given as it is, and said to be unsettled.
+ROUNDS, STABLE = 100, 1e-4
+#: Up to this many annotators their codes are broadcast; more are joined.
+BROADCAST = 1_000_000
 
 
 def status_of(c: F.Column) -> F.Column:
@@ -54,137 +58,192 @@ def current_votes(votes: DataFrame) -> DataFrame:
     return given.groupBy("item", "annotator").agg(best).select("item", "annotator", "v.*")
 
 
+class Votes:
+    """The packed votes of a batch of items as flat arrays: the row of each vote, annotator code, status (-1 none), estimate, review mark."""
+
+    def __init__(self, b: pa.RecordBatch):
+        sizes = np.diff(b.column(1).offsets.to_numpy())
+        flat = [b.column(i).flatten() for i in range(1, 5)]
+        self.items = b.num_rows
+        self.row = np.repeat(np.arange(b.num_rows), sizes)
+        self.who, self.vote, self.review = (flat[i].to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        self.volatility = flat[2].to_numpy(zero_copy_only=False)
+
+    def tally(self, weight: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights that each vote gives each status, and their sums per item with the log shares of the statuses."""
+        rated = self.vote >= 0
+        given = np.where(rated[:, None], weight[self.who, np.where(rated, self.vote, 0)], 0.0)
+        sums = np.stack([np.bincount(self.row, weights=given[:, s], minlength=self.items) for s in range(K)], 1)
+        return given, sums + np.log(prior)
+
+
 class Consensus:
-    """The results of reweighted voting: ``items``, ``annotators``, ``rounds`` and ``alpha`` (chance-corrected agreement).
+    """The results of reweighted voting: ``items``, ``annotators``, ``rounds``, ``settled`` and ``alpha``.
 
-    An annotator's accuracy is kept per status (how often a vote of theirs meets each status of the others'
-    consensus), so that someone who always gives the same status weighs nothing, however often it fits.
+    An annotator's accuracy is kept per status given: the share in which such votes meet each status of the others'
+    consensus. A vote weighs for each status by the log of that share against the status's share overall, so someone
+    who always gives the same status weighs nothing, however often it fits.
     """
 
-    def __init__(self, votes: DataFrame):
-        spark = votes.sparkSession
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.votes = cut(current_votes(votes).repartition(n, "item").sortWithinPartitions("item", "annotator"))
-        self.rated = self.votes.filter(F.col("status").isNotNull())
-        if small(self.rated.select("annotator").distinct(), ANNOTATORS) is None:
-            raise ValueError(f"more than {ANNOTATORS} annotators; split the items")
-        self.rounds = 0
-        start = [[0.7 if v == s else 0.15 for s in range(K)] for v in range(K)]
-        self._met: dict[str, list[list[float]]] = {}
-        self._prior = [1.0 / K] * K
-        self._weigh(start)
-        previous: dict[str, float] = {}
-        self.accuracy: dict[str, float] = {}
-        for self.rounds in range(1, ROUNDS + 1):
-            stats = self._left_out(self._evidence(self.rated)).collect()
-            met: dict[str, list[list[float]]] = {}
-            for r in stats:
-                met.setdefault(r["annotator"], [[0.0] * K for _ in range(K)])[STATUSES.index(r["status"])] = [float(x) for x in r["met"]]
-            whole = [[sum(m[v][s] for m in met.values()) for s in range(K)] for v in range(K)]
-            total = sum(map(sum, whole)) or 1.0
-            self._prior = [(sum(whole[v][s] for v in range(K)) + 1.0) / (total + K) for s in range(K)]
-            overall = sum(whole[s][s] for s in range(K)) / total if met else 0.7
-            pooled = [[(whole[v][s] + 1.0) / (sum(whole[u][s] for u in range(K)) + K) for s in range(K)] for v in range(K)]
-            self._met = met
-            self._weigh(pooled)
-            seen = {a: sum(map(sum, m)) for a, m in met.items()}
-            self.accuracy = {a: (sum(m[s][s] for s in range(K)) + SMOOTH * overall) / (seen[a] + SMOOTH) for a, m in met.items()}
-            self.seen = seen
-            moved = max((abs(p - previous.get(a, 0.0)) for a, p in self.accuracy.items()), default=0.0)
-            previous = self.accuracy
+    def __init__(self, votes: DataFrame, rounds: int = ROUNDS):
+        given = written(current_votes(votes), "votes")
+        names = given.select("annotator").distinct().orderBy("annotator").toArrow().column(0).to_pylist()
+        self.names = names
+        codes = votes.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "annotator string, code int")
+        coded = given.join(maybe_broadcast(codes, len(names), BROADCAST), "annotator")
+        status = F.coalesce(*[F.when(F.col("status") == s, F.lit(i)) for i, s in enumerate(STATUSES)], F.lit(-1)).cast("tinyint")
+        review = F.coalesce(F.col("review").cast("tinyint"), F.lit(-1)).cast("tinyint")
+        # An item holds one vote per annotator at most, so its row is bounded by the number of annotators.
+        packed = coded.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.col("code"), status.alias("s"), F.coalesce("volatility", F.lit(float("nan"))).alias("v"), review.alias("r")))).alias("p"))
+        named = {"code": "who", "s": "vote", "v": "volatility", "r": "review"}
+        self.packed = written(packed.select("item", *[F.col(f"p.{f}").alias(n) for f, n in named.items()]), "items")
+        self.prior = np.full(K, 1.0 / K)
+        start = np.full((K, K), np.log(0.15))
+        np.fill_diagonal(start, np.log(0.7))
+        self.weight = np.tile(start, (max(1, len(names)), 1, 1))
+        self.met = np.zeros((max(1, len(names)), K, K))
+        self.settled = False
+        for self.rounds in range(1, rounds + 1):
+            self.met = self._left_out()
+            whole = self.met.sum(0)
+            prior = (whole.sum(0) + 1) / (whole.sum() + K)
+            pooled = (whole + 1) / (whole.sum(1, keepdims=True) + K)
+            share = (self.met + SMOOTH * pooled) / (self.met.sum(2, keepdims=True) + SMOOTH)
+            weight = np.log(np.maximum(share, LOW)) - np.log(prior)
+            moved = np.abs(weight - self.weight).max()
+            self.weight, self.prior = weight, prior
             if moved < STABLE:
+                self.settled = True
                 break
-        self.alpha = self._alpha()
-
-    def _weigh(self, pooled: list[list[float]]) -> None:
-        """Log accuracies as rows (annotator, status, one number per status of the consensus), smoothed by the pooled ones."""
-        self._default = [[log(max(LOW, pooled[v][s])) for s in range(K)] for v in range(K)]
-        rows = []
-        for a, m in sorted(self._met.items()):
-            for v in range(K):
-                part = []
+        seen = self.met.sum((1, 2))
+        right = np.trace(self.met, axis1=1, axis2=2)
+        overall = right.sum() / seen.sum() if seen.sum() else 0.7
+        self.seen = seen
+        self.accuracy = (right + SMOOTH * overall) / (seen + SMOOTH)
+        self._agreement: tuple[float | None, float] | None = None
+
+    def _left_out(self) -> np.ndarray:
+        """Per annotator, status given and status: summed shares of the status in the consensus of the others on the same items."""
+        weight, prior = self.weight, self.prior
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met = np.zeros_like(weight)
+            for b in batches:
+                v = Votes(b)
+                given, sums = v.tally(weight, prior)
+                rest = sums[v.row] - given
+                p = np.exp(rest - rest.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                rated = v.vote >= 0
+                use = rated & (np.bincount(v.row, weights=rated, minlength=v.items)[v.row] > 1)
+                cell = v.who[use].astype(np.int64) * K + v.vote[use]
                 for s in range(K):
-                    column = sum(m[u][s] for u in range(K))
-                    part.append(log(max(LOW, (m[v][s] + SMOOTH * pooled[v][s]) / (column + SMOOTH))))
-                rows.append((a, STATUSES[v], part))
-        self._rows = rows
-
-    def _evidence(self, votes: DataFrame) -> DataFrame:
-        """``votes`` with ``e``, the log evidence of each vote for each status (zeros where no status is given)."""
-        default = F.create_map(*[x for v in range(K) for x in (F.lit(STATUSES[v]), F.array(*map(F.lit, self._default[v])))])
-        none = F.array(*[F.lit(0.0)] * K)
-        if not self._rows:
-            return votes.withColumn("e", F.coalesce(default[F.col("status")], none))
-        w = votes.sparkSession.createDataFrame(self._rows, "annotator string, status string, w array<double>")
-        joined = votes.join(F.broadcast(w), ["annotator", "status"], "left")
-        return joined.withColumn("e", F.coalesce("w", default[F.col("status")], none)).drop("w")
-
-    def _left_out(self, weighted: DataFrame) -> DataFrame:
-        """Per annotator and status given, the summed shares of each status in the consensus of the others on the same items."""
-        by_item = Window.partitionBy("item")
-        rest = [(F.sum(F.col("e")[s]).over(by_item) - F.col("e")[s] + F.lit(log(self._prior[s]))).alias(f"r{s}") for s in range(K)]
-        scored = weighted.select("annotator", "status", (F.count(F.lit(1)).over(by_item) - 1).alias("others"), *rest)
-        top = F.greatest(*[f"r{s}" for s in range(K)])
-        share = [F.exp(F.col(f"r{s}") - top) for s in range(K)]
-        total = sum(share[1:], share[0])
-        return (
-            scored.filter(F.col("others") > 0)
-            .groupBy("annotator", "status")
-            .agg(F.array(*[F.sum(share[s] / total) for s in range(K)]).alias("met"))
-        )
-
-    def _alpha(self) -> float | None:
-        """Krippendorff's alpha for nominal values with missing ratings; None without items rated twice."""
-        counts = self.rated.groupBy("item").agg(*[F.count(F.when(F.col("status") == s, 1)).cast("double").alias(s) for s in STATUSES])
-        n = sum((F.col(s) for s in STATUSES[1:]), F.col(STATUSES[0]))
-        paired = counts.withColumn("n", n).filter(F.col("n") >= 2)
-        observed = (F.col("n") * F.col("n") - sum((F.col(s) * F.col(s) for s in STATUSES[1:]), F.col(STATUSES[0]) * F.col(STATUSES[0]))) / (F.col("n") - 1)
-        r = paired.agg(F.sum(observed).alias("d"), F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in STATUSES]).first()
-        if not r["n"]:
-            return None
-        expected = r["n"] ** 2 - sum(r[s] ** 2 for s in STATUSES)
-        return 1.0 if expected == 0 else 1.0 - (r["n"] - 1) * r["d"] / expected
-
-    def items(self) -> DataFrame:
+                    met[:, :, s] += np.bincount(cell, weights=p[use, s], minlength=len(weight) * K).reshape(-1, K)
+            at = np.flatnonzero(met.sum(2).ravel())
+            flat = met.reshape(-1, K)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(flat[:, s]) for s in range(K))], names=["cell", *(f"m{s}" for s in range(K))])
+
+        sums = self.packed.mapInArrow(run, "cell long, " + ", ".join(f"m{s} double" for s in range(K)))
+        got = sums.groupBy("cell").agg(*[F.sum(f"m{s}").alias(f"m{s}") for s in range(K)]).toArrow()
+        out = np.zeros((len(weight) * K, K))
+        if got.num_rows:
+            out[got.column(0).to_numpy()] = np.stack([got.column(s + 1).to_numpy() for s in range(K)], 1)
+        return out.reshape(weight.shape)
+
+    def _expected(self) -> tuple[float | None, float]:
+        """Krippendorff's alpha for nominal values with missing ratings (None without items rated twice), and the disagreement that chance gives."""
+        if self._agreement is None:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(K + 1)
+                for b in batches:
+                    v = Votes(b)
+                    n = np.stack([np.bincount(v.row, weights=v.vote == s, minlength=v.items) for s in range(K)], 1)
+                    n = n[n.sum(1) >= 2]
+                    m = n.sum(1)
+                    total += [*n.sum(0), ((m * m - (n * n).sum(1)) / (m - 1)).sum()]
+                yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in total], names=[f"t{i}" for i in range(K + 1)])
+
+            t = self.packed.mapInArrow(run, ", ".join(f"t{i} double" for i in range(K + 1)))
+            r = t.agg(*[F.sum(c) for c in t.columns]).first()
+            n = np.array([x or 0.0 for x in r[:K]])
+            pairs = n.sum() * (n.sum() - 1)
+            chance = (n.sum() ** 2 - (n * n).sum()) / pairs if pairs > 0 else 0.0
+            alpha = None if not n.sum() else 1.0 if chance == 0 else 1.0 - (r[K] / n.sum()) / chance
+            self._agreement = (alpha, float(chance))
+        return self._agreement
+
+    @property
+    def alpha(self) -> float | None:
+        return self._expected()[0]
+
+    def statuses(self) -> DataFrame:
+        """item, status, annotators (who gave a status): the consensus alone, without agreement and estimates."""
+        return self.items(False).select("item", "status", "annotators")
+
+    def items(self, agreement: bool = True) -> DataFrame:
         """item, status, volatility, review, annotators (who gave a status), agreement, margin.
 
-        Status ties go to the status with more votes, then to the alphabetically first. Volatility is the
-        weighted median of the estimates given, review the weighted majority (a tie asks for review);
-        agreement is the chance-corrected share of agreeing pairs on the item, null below two ratings.
+        Status ties go to the status with more votes, then to the alphabetically first. Volatility is the median of the
+        estimates given, review the majority (a tie asks for review), both weighted by the annotators' accuracy;
+        agreement is corrected by the chance that the votes of all items give and null below two ratings.
         """
-        # Estimates and review marks weigh by the annotator's accuracy.
-        trust = self.votes.sparkSession.createDataFrame(sorted(self.accuracy.items()) or [("", 0.0)], "annotator string, m double")
-        v = self._evidence(self.votes).join(F.broadcast(trust), "annotator", "left").withColumn("m", F.coalesce("m", F.lit(0.5)))
-        sums = [F.sum(F.col("e")[s]).alias(f"w_{STATUSES[s]}") for s in range(K)]
-        counts = [F.count(F.when(F.col("status") == s, 1)).alias(f"n_{s}") for s in STATUSES]
-        weighted = F.sort_array(F.collect_list(F.when(F.col("volatility").isNotNull(), F.struct("volatility", "m")))).alias("estimates")
-        yes = F.sum(F.when(F.col("review"), F.col("m")).otherwise(0.0))
-        no = F.sum(F.when(~F.col("review"), F.col("m")).otherwise(0.0))
-        g = v.groupBy("item").agg(*sums, *counts, weighted, F.count("review").alias("_r"), (yes >= no).alias("_yes"))
-        n = sum((F.col(f"n_{s}") for s in STATUSES[1:]), F.col(f"n_{STATUSES[0]}"))
-        ranked = F.array_sort(
-            F.array(*[F.struct((-F.round(F.col(f"w_{t}") + F.lit(log(self._prior[s])), 9)).alias("a"), (-F.col(f"n_{t}")).alias("b"), F.lit(t).alias("s")) for s, t in enumerate(STATUSES)])
-        )
-        half = F.aggregate("estimates", F.lit(0.0), lambda acc, x: acc + x["m"]) / 2
-        median = F.aggregate(
-            "estimates",
-            F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("v")),
-            lambda acc, x: F.struct((acc["sum"] + x["m"]).alias("sum"), F.coalesce(acc["v"], F.when(acc["sum"] + x["m"] >= half, x["volatility"])).alias("v")),
-        )["v"]
-        pairs = sum((F.col(f"n_{s}") * (F.col(f"n_{s}") - 1) for s in STATUSES[1:]), F.col(f"n_{STATUSES[0]}") * (F.col(f"n_{STATUSES[0]}") - 1))
-        chance = F.lit(1.0 / len(STATUSES))
-        return g.select(
-            "item",
-            F.when(n > 0, ranked[0]["s"]).alias("status"),
-            F.round(median, 6).alias("volatility"),
-            F.when(F.col("_r") > 0, F.col("_yes")).alias("review"),
-            n.alias("annotators"),
-            F.when(n >= 2, F.round((pairs / (n * (n - 1)) - chance) / (1 - chance), 6)).alias("agreement"),
-            F.when(n > 0, F.round(ranked[1]["a"] - ranked[0]["a"], 6)).alias("margin"),
-        )
+        weight, prior, accuracy = self.weight, self.prior, self.accuracy
+        chance = self._expected()[1] if agreement else 0.0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v = Votes(b)
+                _, sums = v.tally(weight, prior)
+                n = np.stack([np.bincount(v.row, weights=v.vote == s, minlength=v.items) for s in range(K)], 1)
+                m = n.sum(1)
+                score = np.round(sums, 9)
+                order = np.lexsort((np.broadcast_to(np.arange(K), score.shape), -n, -score), axis=1)
+                first, second = order[:, 0], order[:, 1]
+                at = np.arange(v.items)
+                margin = np.round(score[at, first] - score[at, second], 6)
+                w = accuracy[v.who]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    observed = (m * m - (n * n).sum(1)) / (m * (m - 1))
+                    agree = np.round(1 - observed / chance, 6) if chance else np.ones(v.items)
+                yes = np.bincount(v.row, weights=w * (v.review == 1), minlength=v.items)
+                no = np.bincount(v.row, weights=w * (v.review == 0), minlength=v.items)
+                asked = np.bincount(v.row, weights=v.review >= 0, minlength=v.items) > 0
+                none = m == 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0),
+                        pa.array(np.array(STATUSES, object)[first], pa.string(), mask=none),
+                        _medians(v, w),
+                        pa.array(yes >= no, mask=~asked),
+                        pa.array(m.astype(np.int64)),
+                        pa.array(agree, mask=m < 2),
+                        pa.array(margin, mask=none),
+                    ],
+                    names=["item", "status", "volatility", "review", "annotators", "agreement", "margin"],
+                )
+
+        return self.packed.mapInArrow(run, "item string, status string, volatility double, review boolean, annotators long, agreement double, margin double")
 
     def annotators(self) -> DataFrame:
-        """annotator, votes compared, leave-one-out smoothed accuracy."""
-        spark = self.votes.sparkSession
-        rows = [(a, int(round(self.seen[a])), float(round(p, 6))) for a, p in sorted(self.accuracy.items())]
-        return spark.createDataFrame(rows, "annotator string, votes long, reliability double")
+        """annotator, votes compared, leave-one-out smoothed accuracy, whether the voting settled."""
+        spark = self.packed.sparkSession
+        rows = [(a, int(round(n)), float(round(p, 6)), self.settled) for a, n, p in zip(self.names, self.seen, self.accuracy)]
+        return spark.createDataFrame(rows, "annotator string, votes long, reliability double, settled boolean")
+
+
+def _medians(v: Votes, weight: np.ndarray) -> pa.Array:
+    """Weighted (lower) median of the estimates of each item, null without any."""
+    known = np.flatnonzero(~np.isnan(v.volatility))
+    order = known[np.lexsort((v.volatility[known], v.row[known]))]
+    row, w = v.row[order], weight[order]
+    total = np.bincount(row, weights=w, minlength=v.items)
+    before = np.concatenate([[0.0], np.cumsum(total)])[:-1]
+    reached = np.cumsum(w) - before[row] >= total[row] / 2 - 1e-12
+    at = np.flatnonzero(reached)
+    rows, first = np.unique(row[at], return_index=True)
+    out = np.zeros(v.items)
+    out[rows] = v.volatility[order[at[first]]]
+    none = np.ones(v.items, bool)
+    none[rows] = False
+    return pa.array(np.round(out, 6), mask=none)

@@ -33,7 +33,7 @@ def _consensus(spark: SparkSession, sf_dir: str) -> Consensus:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _consensus(spark, sf_dir).items().filter(F.col("annotators") >= 3)
+    items = _consensus(spark, sf_dir).statuses().filter(F.col("annotators") >= 3)
     return items.select(F.col("item").alias("aggregate_key"), F.col("status").alias("status_suggestion"))
 
 
