@@ -23,7 +23,7 @@ TO_LATIN = {
     CYRILLIC: "аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԝw ԛq АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ІI ЈJ ЅS ԜW ԚQ Ԁd",
     GREEK: "οo ιi νv ρp υu κk αa ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX",
     ARMENIAN: "օo սu հh զq ոn ցg Օo ՍU Լl",
-    LATIN: "ɡg ɑa ıi",
+    LATIN: "ɡg ɑa",
 }
 #: Latin letters that look like a letter of another script.
 FROM_LATIN = {
@@ -44,6 +44,8 @@ class Tables:
         drop = np.zeros(N, bool)
         combining = np.zeros(N, np.uint8)
         letter = np.zeros(N, bool)
+        digit = np.zeros(N, bool)
+        space = np.zeros(N, bool)
         script = np.zeros(N, np.uint8)
         joins = np.zeros(N, bool)
         virama = np.zeros(N, bool)
@@ -68,6 +70,8 @@ class Tables:
                 drop[c] = True
             elif cat == "Cc" and c not in (9, 10, 13):
                 drop[c] = True
+            digit[c] = cat == "Nd"
+            space[c] = cat[0] == "Z" or c in (9, 10, 13)
             if cat[0] == "L":
                 letter[c] = True
                 name = unicodedata.name(ch, "")
@@ -79,7 +83,9 @@ class Tables:
             if d:
                 if d[0] == "<":
                     tag = d[1 : d.index(">")]
-                    if tag not in ("super", "sub", "fraction"):
+                    # An accent that stands by itself would become a space with a loose mark.
+                    loose = len(k := unicodedata.normalize("NFKC", ch)) > 1 and k[0] == " " and unicodedata.combining(k[1])
+                    if tag not in ("super", "sub", "fraction") and not loose:
                         wide[c] = ch
                 else:
                     canon[c] = unicodedata.normalize("NFD", ch)
@@ -91,6 +97,7 @@ class Tables:
         drop[[0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10)]] = True
         drop[0xE0000:0xE1000] = True
         self.drop, self.combining, self.letter, self.script = drop, combining, letter, script
+        self.digit, self.space = digit, space
         self.joins, self.virama, self.pictograph = joins, virama, pictograph
         self.compat = self._expansion({c: unicodedata.normalize("NFKC", s) for c, s in wide.items() if not drop[c]})
         self.canon = self._expansion(canon)
@@ -216,12 +223,15 @@ def _drop_invisible(cp: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndar
     return cp[~gone], row[~gone]
 
 
-def _unify(cp: np.ndarray, group: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
-    """Fold look-alikes within each group (ascending ids) of mixed scripts; also the groups no script fits."""
+def _unify(cp: np.ndarray, group: np.ndarray, t: Tables, wished: np.ndarray | None = None) -> np.ndarray:
+    """Fold look-alikes within each group (ascending ids) of mixed scripts; a group that no script fits stays.
+
+    Of several scripts that fit the one with most letters is taken, or the ``wished`` one (per group, 0 for none).
+    """
     s = t.script[cp]
     lettered = s > 0
     if not lettered.any():
-        return cp, np.zeros(0, np.int64)
+        return cp
     ids, start = np.unique(group, return_index=True)
     count = {k: np.add.reduceat((s == k).astype(np.int64), start) for k in t.fold}
     # Letters of the alphabet outside plain Latin mean work; pure groups of one script stay, but for odd Latin forms.
@@ -229,33 +239,66 @@ def _unify(cp: np.ndarray, group: np.ndarray, t: Tables) -> tuple[np.ndarray, np
     odd = np.logical_or.reduceat((s == LATIN) & (t.fold[LATIN][cp] != cp), start)
     work = (kinds > 1) | odd
     if not work.any():
-        return cp, np.zeros(0, np.int64)
-    best = np.zeros(len(ids), np.int64)
-    target = np.zeros(len(ids), np.uint8)
-    for k, f in t.fold.items():
-        fits = np.logical_and.reduceat(~lettered | (f[cp] > 0), start)
-        score = np.where(fits & work, count[k] + 1, 0)
-        better = score > best
-        best[better], target[better] = score[better], k
-    size = np.diff(np.append(start, len(cp)))
-    per_char = np.repeat(target, size)
+        return cp
+    target = _fitting(cp, start, work, count, t, wished)
+    per_char = np.repeat(target, np.diff(np.append(start, len(cp))))
     out = cp.copy()
     for k, f in t.fold.items():
         m = (per_char == k) & lettered
         out[m] = f[cp[m]]
-    return out, ids[work & (target == 0)]
+    return out
+
+
+def _fitting(cp: np.ndarray, start: np.ndarray, work: np.ndarray, count: dict, t: Tables, wished: np.ndarray | None = None) -> np.ndarray:
+    """The script that all letters of a group can go to, 0 where there is none or no work."""
+    lettered = t.script[cp] > 0
+    best = np.zeros(len(start), np.int64)
+    target = np.zeros(len(start), np.uint8)
+    for k, f in t.fold.items():
+        fits = np.logical_and.reduceat(~lettered | (f[cp] > 0), start)
+        score = np.where(fits & work, count[k] + 1 + (0 if wished is None else (wished == k) * len(cp)), 0)
+        better = score > best
+        best[better], target[better] = score[better], k
+    return target
 
 
 def _look_alikes(cp: np.ndarray, row: np.ndarray, t: Tables) -> np.ndarray:
-    if not (t.script[cp] > LATIN).any() and not ((cp == 0x261) | (cp == 0x251) | (cp == 0x131)).any():
+    """Fold look-alikes within the parts of each term (letters, marks, digits and apostrophes between separators).
+
+    A part of mixed scripts goes to the script it fits. A part of one script stays, unless all its letters look like
+    letters of the script that most letters of the term have; a lone small Greek letter, as in the names of
+    substances, stays also then.
+    """
+    if not (t.script[cp] > LATIN).any() and not ((cp == 0x261) | (cp == 0x251)).any():
         return cp
-    out, unfit = _unify(cp, row, t)
-    if len(unfit):
-        # No script fits the whole text: fold each part between separators by itself.
-        m = np.flatnonzero(np.isin(row, unfit))
-        cuts = ~t.letter[cp[m]] & (t.combining[cp[m]] == 0)
-        new = np.append(True, (row[m][1:] != row[m][:-1]) | cuts[1:] | cuts[:-1])
-        out[m] = _unify(cp[m], np.cumsum(new), t)[0]
+    cuts = ~t.letter[cp] & (t.combining[cp] == 0) & ~t.digit[cp] & (cp != 0x27) & (cp != 0x2019)
+    part = np.cumsum(np.append(True, (row[1:] != row[:-1]) | cuts[1:] | cuts[:-1])) - 1
+    kinds = list(t.fold)
+    # Where a part fits several scripts, the term decides, its single letters aside.
+    letters = np.bincount(part, weights=t.script[cp] > 0)
+    m = np.flatnonzero((letters[part] > 1) & (t.script[cp] > 0))
+    wish = np.zeros(int(row[-1]) + 1, np.uint8)
+    if len(m):
+        rows, start = np.unique(row[m], return_index=True)
+        count = {k: np.add.reduceat((t.script[cp[m]] == k).astype(np.int64), start) for k in kinds}
+        wish[rows] = _fitting(cp[m], start, np.ones(len(rows), bool), count, t)
+    parts = int(part[-1]) + 1
+    row_of = np.zeros(parts, np.int64)
+    row_of[part] = row
+    out = _unify(cp, part, t, wish[row_of])
+    s = t.script[out]
+    by_row = np.array([np.bincount(row, weights=s == k, minlength=int(row[-1]) + 1) for k in kinds])
+    mixed = (by_row > 0).sum(0) > 1
+    if not mixed[row].any():
+        return out
+    own = np.array([np.bincount(part, weights=s == k, minlength=parts) for k in kinds])
+    to = by_row.argmax(0)[row_of]
+    lone = (own.sum(0) == 1) & (own[kinds.index(GREEK)] == 1) & (np.bincount(part, weights=(out > 0x3B0) & (out < 0x3CA) & (out != 0x3BF), minlength=parts) == 1)
+    pure = ((own > 0).sum(0) == 1) & (own.argmax(0) != to) & mixed[row_of] & ~lone & (by_row.max(0)[row_of] > own.sum(0))
+    for i, k in enumerate(kinds):
+        no = np.bincount(part, weights=(s > 0) & (t.fold[k][out] == 0), minlength=parts)
+        m = (pure & (to == i) & (no == 0))[part] & (s > 0)
+        out[m] = t.fold[k][out[m]]
     return out
 
 
@@ -338,11 +381,13 @@ def plain_points(cp: np.ndarray, row: np.ndarray, words: bool = True) -> tuple[n
     cp, row = _drop_invisible(cp, row, t)
     cp, row = _expand(cp, row, t.compat)
     if words:
-        cp = _look_alikes(cp, row, t)
+        cp = np.where(t.space[cp], np.uint32(0x20), cp)
+        if len(cp):
+            cp = _look_alikes(cp, row, t)
     elif (t.script[cp] > LATIN).any():
         gap = ~t.letter[cp] & (t.combining[cp] == 0)
         word = np.cumsum(np.append(True, (row[1:] != row[:-1]) | gap[1:] | gap[:-1]))
-        cp = _unify(cp, word, t)[0]
+        cp = _unify(cp, word, t)
     cp, row = _compose(cp, row, t)
     return _strip(cp, row) if words else (cp, row)
 
