@@ -77,11 +77,11 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "source", ["lang", "source_type"])
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_scores(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return page_scores(table(spark, sf_dir, "documents"), "doc_id", "text", "source", ["lang", "source_type"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
