@@ -45,3 +45,13 @@ def plain_forms(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
                     )
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, field string, plain string")
+
+
+def plain_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row's id with its running text in plain form (look-alikes folded word by word, spaces kept); null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), plain_column(b.column(1), words=False)], names=[id_col, text_col])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, `{text_col}` string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import encode_texts
 from tidemark.llm.consensus import Consensus
 from tidemark.llm.islands import islands
-from tidemark.llm.leaks import item_leaks
+from tidemark.llm.leaks import cleaned_texts, item_leaks
 from tidemark.llm.nearest import similar_pairs
 from tidemark.llm.plain_text import plain_forms
 from tidemark.llm.spam_pages import page_scores, spam_pages
@@ -76,6 +76,10 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "source", ["lang", "source_type"])
 
@@ -97,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_coverage": p8_coverage,
+        "p8_cleaned": p8_cleaned,
         "p9_found": p9_found,
         "p9_scores": p9_scores,
     }
