@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from vectors_by_hand import directions
 
-from tidemark.llm.islands import islands, least_labels
+from tidemark.llm.islands import island_report, islands
+from tidemark.operators.components import least_labels
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,3 +47,24 @@ def test_chain_over_many_labels(spark):
     order = np.random.default_rng(3).permutation(n)
     edges = spark.createDataFrame([(f"n{order[i]:02d}", f"n{order[i + 1]:02d}") for i in range(n - 1)], "u string, v string")
     assert {tuple(r) for r in least_labels(edges).collect()} == {(f"n{i:02d}", "n00") for i in range(1, n)}
+
+
+def test_report_gives_size_and_members_near_the_mean(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(6):
+        base = rng.standard_normal(30)
+        rows += [(f"g{g}-{i:02d}", 1, {f"d{j}": float(x) for j, x in enumerate(base + 0.3 * rng.standard_normal(30))}) for i in range(5 + g)]
+    rows += [("empty", 1, {}), ("null", 1, None), ("zero", 1, {"d1": 0.0})]
+    df = spark.createDataFrame(rows, "id string, at int, v map<string,double>")
+    got = {r["first"]: r for r in island_report(df, "id", "v", "at", 0.7).collect()}
+    ids, m = directions(rows)
+    want = by_hand(rows, 0.7)
+    assert {f: r["size"] for f, r in got.items()} == Counter(want.values())
+    for f, r in got.items():
+        inside = [i for i in want if want[i] == f]
+        assert len(r["typical"]) == min(3, len(r["typical"])) >= 1 and set(r["typical"]) <= set(inside)
+        if r["cells"] == 1:
+            mean = sum(m[ids.index(i)] for i in inside)
+            assert list(r["typical"]) == sorted(inside, key=lambda i: (-round(float(m[ids.index(i)] @ mean), 9), i))[:3]
+    assert island_report(df.limit(0), "id", "v", "at", 0.7).collect() == []

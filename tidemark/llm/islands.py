@@ -15,10 +15,11 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.vectors import Sparse, classes, vector_rows
+from tidemark.operators.components import least_labels
 from tidemark.session import shared_dir, small, written
 
 #: Pivots of the cells, vectors per block, and the most dimensions (a block is dense over all of them).
@@ -132,23 +133,6 @@ def _across(path: str, dims: int, least: float):
     return run
 
 
-def least_labels(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of the component, for every node of the edges (u, v) but the smallest itself."""
-    e = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(hung.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        seen = now
-
-
 def islands(df: DataFrame, id_col: str, map_col: str, order_col: str, least_cosine: float, least_size: int = 3, block_rows: int = BLOCK) -> DataFrame:
     """One row (id, first) per id in an island, with the island's smallest id.
 
@@ -156,6 +140,33 @@ def islands(df: DataFrame, id_col: str, map_col: str, order_col: str, least_cosi
     ``least_size`` ids that hang together. Of several rows of an id the latest counts. Null and empty vectors
     belong to none; an empty table gives no row. More than ``DIMS`` keys are an error.
     """
+    return _islands(df, id_col, map_col, order_col, least_cosine, least_size, block_rows)[0]
+
+
+def island_report(
+    df: DataFrame, id_col: str, map_col: str, order_col: str, least_cosine: float, least_size: int = 3, typical: int = 3, block_rows: int = BLOCK
+) -> DataFrame:
+    """One row (first, size, cells, typical) per island: its size, the cells it lies in, its most typical members.
+
+    These are the members of the island's densest cell (the first cell on a tie) whose direction is nearest to the
+    island's mean direction; ties go by id. Rows, nulls and empty tables as for ``islands``.
+    """
+    found, placed, member = _islands(df, id_col, map_col, order_col, least_cosine, least_size, block_rows)
+    m = found.join(member, "id").join(placed.select("rep", "cell", "keys", "values"), "rep")
+    per_cell = m.groupBy("first", "cell").agg(F.count(F.lit(1)).alias("n"))
+    dense = per_cell.groupBy("first").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("cells"), F.min_by("cell", F.struct(-F.col("n"), F.col("cell"))).alias("cell"))
+    entry = m.select("first", F.explode(F.arrays_zip("keys", "values")).alias("e")).select("first", F.col("e.keys").alias("k"), F.col("e.values").alias("v"))
+    mean = entry.groupBy("first", "k").agg(F.sum("v").alias("mean"))
+    near = m.join(dense, ["first", "cell"]).select("first", "id", F.explode(F.arrays_zip("keys", "values")).alias("e"))
+    near = near.select("first", "id", F.col("e.keys").alias("k"), F.col("e.values").alias("v")).join(mean, ["first", "k"])
+    score = near.groupBy("first", "id").agg(F.round(F.sum(F.col("v") * F.col("mean")), 9).alias("s"))
+    best = F.row_number().over(Window.partitionBy("first").orderBy(F.desc("s"), "id"))
+    top = score.withColumn("r", best).filter(F.col("r") <= typical).groupBy("first").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("t"))
+    return dense.join(top, "first").select("first", "size", "cells", F.col("t.id").alias("typical"))
+
+
+def _islands(df: DataFrame, id_col: str, map_col: str, order_col: str, least_cosine: float, least_size: int, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``islands``, the directions with their cells, and which direction each id has."""
     spark = df.sparkSession
     reps, member = classes(written(vector_rows(df, id_col, map_col, order_col), "vectors"))
     reps, member = written(reps, "reps"), written(member, "members")
@@ -165,7 +176,8 @@ def islands(df: DataFrame, id_col: str, map_col: str, order_col: str, least_cosi
     at = {k: n for n, k in enumerate(sorted(r[0] for r in names))}
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(PIVOTS).toArrow()
     if not sample.num_rows:
-        return member.select("id", F.col("rep").alias("first")).limit(0)
+        none = member.select("id", F.col("rep").alias("first")).limit(0)
+        return none, reps.select("rep", "keys", "values", F.lit(0).alias("cell")), member
     placed = reps.select("rep", "keys", "values").mapInArrow(_place(_dense(sample.column("keys"), sample.column("values"), at), at), "rep string, keys array<string>, values array<double>, cell int")
     placed = written(placed, "placed")
     # Cells in order are packed into blocks; one that outgrows a block is cut by hash.
@@ -190,4 +202,5 @@ def islands(df: DataFrame, id_col: str, map_col: str, order_col: str, least_cosi
         edges = edges.unionByName(numbers.mapInArrow(_across(path, len(at), least_cosine), "u string, v string"))
     found = member.join(least_labels(edges).withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("first"))
     found = written(found, "islands")
-    return found.join(found.groupBy("first").count().filter(F.col("count") >= least_size).select("first"), "first").select("id", "first")
+    large = found.groupBy("first").count().filter(F.col("count") >= least_size).select("first")
+    return found.join(large, "first").select("id", "first"), placed, member

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_texts
 from tidemark.llm.consensus import Consensus
-from tidemark.llm.islands import islands
+from tidemark.llm.islands import island_report, islands
 from tidemark.llm.leaks import cleaned_texts, item_leaks
-from tidemark.llm.nearest import similar_pairs
+from tidemark.llm.nearest import nearest_of, similar_pairs
 from tidemark.llm.plain_text import plain_forms
 from tidemark.llm.spam_pages import page_scores, spam_pages
 from tidemark.llm.termfreq import marked, term_frequency
@@ -28,6 +28,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("article_id"), F.col("first").alias("island_first"))
 
 
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar directions of every fiftieth one (by hash of its id), against all."""
+    asked = F.pmod(F.xxhash64("rep"), F.lit(50)) == 0
+    near = nearest_of(table(spark, sf_dir, "w4_records"), "article_id", "resonance_vector", "computed_at", 5, asked)
+    return near.select(F.col("id").alias("article_id"), F.col("rank").cast("long").alias("rank"), "other", F.round("cosine", 6).alias("cosine"))
+
+
+def p2_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = island_report(table(spark, sf_dir, "w4_records"), "article_id", "resonance_vector", "computed_at", 0.70)
+    return r.select(F.col("first").alias("island_first"), "size", "cells", F.array_join("typical", "|").alias("typical"))
+
+
 def _consensus(spark: SparkSession, sf_dir: str) -> Consensus:
     return Consensus(table(spark, sf_dir, "audit_votes_7cprime"))
 
@@ -91,7 +103,9 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p1_nearest": p1_nearest,
         "p2_found": p2_found,
+        "p2_islands": p2_islands,
         "p3_found": p3_found,
         "p3_items": p3_items,
         "p3_annotators": p3_annotators,
