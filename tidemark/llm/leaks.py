@@ -35,6 +35,8 @@ FIRM = 0.25
 RUN = int(ANCHOR)
 #: Characters of items in one block: what is broadcast at a time.
 BLOCK_CHARS = 20_000_000
+#: Documents whose pairs of tokens are looked at together.
+DOCS = 256
 MIX = np.int64(-7046029254386353131)
 
 
@@ -109,9 +111,51 @@ class ItemIndex:
             keys, start = np.unique(h[order], return_index=True)
             self.runs[length] = keys, np.append(start, len(h)), item[order]
 
+        # Each item token with the number of the pair it begins, for a bound on what may be chained.
+        pairs = [c[:-1] * len(words) + c[1:] for c in coded]
+        self.pairs = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]))
+        none = np.array([len(self.pairs)])
+        self.item_pair = np.concatenate([np.append(np.searchsorted(self.pairs, x), none) if len(c) else none[:0] for c, x in zip(coded, pairs)] + [none[:0]])
+        self.item_start = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+        self.item_weight = np.concatenate([*(np.diff(w) for w in self.weight), np.zeros(0)])
+
+    def _bounded(self, pair: np.ndarray, code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Of the (document, item) pairs those whose item could be covered enough: every token that is chained lies in a
+        pair of neighbours that the document holds as well, or in a gap of bridged size between such ones."""
+        m = len(self.ids)
+        both = np.flatnonzero((doc[1:] == doc[:-1]) & (code[1:] >= 0) & (code[:-1] >= 0))
+        key = code[both] * len(self.words) + code[both + 1]
+        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
+        hit = self.pairs[at] == key if len(self.pairs) else np.zeros(len(at), bool)
+        d, at = doc[both[hit]], at[hit]
+        kept = []
+        for lo in range(0, int(doc[-1]) + 1 if len(doc) else 0, DOCS):
+            mine = pair[(pair // m >= lo) & (pair // m < lo + DOCS)]
+            if not len(mine):
+                continue
+            there = np.zeros((DOCS, len(self.pairs) + 1), bool)
+            a, b = np.searchsorted(d, [lo, lo + DOCS])
+            there[d[a:b] - lo, at[a:b]] = True
+            item = mine % m
+            many = self.item_start[item + 1] - self.item_start[item]
+            first = np.cumsum(many) - many
+            pos = np.repeat(self.item_start[item] - first, many) + np.arange(int(many.sum()))
+            begun = there[np.repeat(mine // m - lo, many), self.item_pair[pos]]
+            pad = np.zeros(BRIDGE, bool)
+            covered = begun | np.append(False, begun[:-1])
+            wide = np.concatenate([pad, covered, pad])
+            n = len(covered)
+            left = np.logical_or.reduce([wide[k : k + n] for k in range(BRIDGE)])
+            right = np.logical_or.reduce([wide[BRIDGE + 1 + k : BRIDGE + 1 + k + n] for k in range(BRIDGE)])
+            weight = self.item_weight[pos]
+            most = np.add.reduceat(weight * (covered | (left & right)), first)
+            kept.append(mine[most >= self.share * np.add.reduceat(weight, first) - 1e-9])
+        return np.concatenate(kept) if kept else pair[:0]
+
     def likely(self, docs: list[list[str]]) -> list[list[int]]:
         """Items that each document may hold, by the runs they share. None is lost: an item that is held has so much in
-        matches of an anchor's length that at least a fifth as many of its runs must stand in the document."""
+        matches of an anchor's length that at least a fifth as many of its runs must stand in the document, and its
+        coverage has a bound that is seen from pairs of neighbouring tokens."""
         flat = pa.array([t for d in docs for t in d], pa.string())
         out: list[list[int]] = [[] for _ in docs]
         if not len(flat) or not len(self.words):
@@ -133,7 +177,7 @@ class ItemIndex:
             who = items[np.repeat(start[at[hit]] - first, many) + np.arange(int(many.sum()))]
             pair, count = np.unique(np.repeat(doc[hit], many) * m + who, return_counts=True)
             if length > 0:
-                pair = pair[n * count >= FIRM * self.share * self.size[pair % m] - 1e-9]
+                pair = self._bounded(pair[n * count >= FIRM * self.share * self.size[pair % m] - 1e-9], code, doc)
             for d, i in zip((pair // m).tolist(), (pair % m).tolist()):
                 out[d].append(i)
         return out
