@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a folder of our own is set once.
+    Where the setting is absent a folder of our own is set once, on one machine only: a cluster must name a folder
+    that all of its machines see.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = sc.getCheckpointDir()
         if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
             named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
