@@ -34,7 +34,7 @@ def json_array(values: Column, spaced: bool = False) -> Column:
 def json_map(m: Column, spaced: bool = False) -> Column:
     """JSON object of a map of strings, keys sorted."""
     comma, colon = (", ", ": ") if spaced else (",", ":")
-    entries = F.array_sort(F.map_entries(m))
+    entries = F.sort_array(F.map_entries(m))
     inner = F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(colon), quoted(e["value"]))), comma)
     return F.concat(F.lit("{"), inner, F.lit("}"))
 
@@ -77,7 +77,7 @@ def projection_id(article: Column, w3_ids: Column, tokenizer: Column, normalizer
 
 def island_id(members: Column) -> Column:
     """Id of an island from its members alone (order of the array doesn't matter)."""
-    return digest(json_object({"members": json_array(F.array_sort(members))}))
+    return digest(json_object({"members": json_array(F.sort_array(members))}))
 
 
 def pair_id(a: Column, b: Column, metric: str = "cosine_dist_v1") -> Column:
@@ -86,12 +86,12 @@ def pair_id(a: Column, b: Column, metric: str = "cosine_dist_v1") -> Column:
 
 def ids_digest(ids: Column) -> Column:
     """Digest of a set of ids, order and repeats aside."""
-    return digest(json_array(F.array_sort(F.array_distinct(ids))), 32)
+    return digest(json_array(F.sort_array(F.array_distinct(ids))), 32)
 
 
 def fingerprint(atoms: Column, operator_type: Column) -> Column:
     """Identity of a molecule: its atoms in order with the operators it uses."""
-    return digest(F.concat(F.array_join(F.array_sort(atoms), "|"), F.lit("::"), operator_type), 32)
+    return digest(F.concat(F.array_join(F.sort_array(atoms), "|"), F.lit("::"), operator_type), 32)
 
 
 def event_id(version: Column, ledger: Column, event_type: Column, direction: Column, data_json: Column) -> Column:

@@ -13,10 +13,9 @@ UNKNOWN, NO_OPERATORS = "__unknown__", "ATOM_ONLY"
 
 def operator_type(formula: Column) -> Column:
     """The operators a formula uses, each once, in order, joined by ``|``; the plain arrow counts only without its plus form."""
-    f = F.coalesce(formula, F.lit(""))
-    has = [(op, f.contains(op)) for op in (*LONG_OPERATORS, *SIGNS)] + [("⇒", f.contains("⇒") & ~f.contains("⇒+"))]
-    found = F.array_sort(F.filter(F.array(*[F.when(c, F.lit(op)) for op, c in has]), lambda x: x.isNotNull()))
-    return F.when(F.size(found) == 0, NO_OPERATORS).otherwise(F.array_join(found, "|"))
+    every = F.array_distinct(F.regexp_extract_all(F.coalesce(formula, F.lit("")), F.lit(rf"(⇒\+|-\|>|[{''.join(SIGNS)}⇒])"), 1))
+    text = F.array_join(F.sort_array(F.filter(every, lambda x: (x != "⇒") | ~F.coalesce(formula, F.lit("")).contains("⇒+"))), "|")
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(NO_OPERATORS))
 
 
 def formula_operators(formula: Column) -> Column:
@@ -33,7 +32,7 @@ def formula_atoms(formula: Column) -> Column:
 def formula_signature(formula: Column, atoms: Column, operators: Column) -> Column:
     """The formula itself; else its sorted atoms with its operators; else a mark for unknown."""
     ops = F.when(F.size(operators) > 0, F.array_join(operators, "|")).otherwise("NONE")
-    made = F.when(F.size(atoms) > 0, F.concat(F.array_join(F.array_sort(atoms), "|"), F.lit("::"), ops))
+    made = F.when(F.size(atoms) > 0, F.concat(F.array_join(F.sort_array(atoms), "|"), F.lit("::"), ops))
     return F.coalesce(F.nullif(F.trim(formula), F.lit("")), made, F.lit(UNKNOWN))
 
 

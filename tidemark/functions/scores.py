@@ -52,8 +52,12 @@ def reinforced(weight: Column, alpha: float = ALPHA) -> Column:
 
 def tau_of(levels: Column) -> Column:
     """The longest tau of an array of temporal levels; unknown levels don't count."""
-    known = F.create_map(*[F.lit(x) for kv in TAU.items() for x in kv])
-    return F.coalesce(F.array_max(F.transform(levels, lambda x: F.try_element_at(known, x))), F.lit(DEFAULT_TAU))
+    by_tau = sorted(set(TAU.values()), reverse=True)
+    named = lambda t: F.array(*[F.lit(n) for n, v in TAU.items() if v == t])
+    found = F.when(F.arrays_overlap(levels, named(by_tau[0])), by_tau[0])
+    for t in by_tau[1:]:
+        found = found.when(F.arrays_overlap(levels, named(t)), t)
+    return found.otherwise(DEFAULT_TAU)
 
 
 def tau_text(tau: Column) -> Column:

@@ -46,7 +46,7 @@ _MARKS = "゙゚"
 def kana_forms() -> dict[str, str]:
     """Two-character strings of the read ranges that NFKC composes, by the rule of ``unicodedata``."""
     out = {}
-    for c in range(0x3041, 0x30FF):
+    for c in range(0x3041, 0x3100):
         for m in _MARKS:
             pair = chr(c) + m
             n = unicodedata.normalize("NFKC", pair)
@@ -112,7 +112,7 @@ def normalized(token: Column) -> Column:
     rare = _MARKS + "".join(kana_singles())
     plain = F.when(token.rlike(f"[{rare}]"), F.coalesce(F.try_element_at(composed, token), slow)).otherwise(F.lower(token))
     cut = F.regexp_replace(F.regexp_replace(plain, f"^{_EDGE}", ""), f"{_EDGE}$", "")
-    cleaned = F.when(F.ascii(plain) < 128, plain).otherwise(F.trim(cut))
+    cleaned = F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(F.trim(cut))
     return F.nullif(cleaned, F.lit(""))
 
 

@@ -48,7 +48,7 @@ def map_errors(traces: Column) -> Column:
     """All errors of a map of texts as sorted ``key=error`` strings."""
     errors = F.transform(F.map_entries(traces), lambda e: F.coalesce(key_error(e["key"]), text_error(e["value"])))
     pairs = F.zip_with(F.map_keys(traces), errors, lambda k, e: F.when(e.isNotNull(), F.concat(k, F.lit("="), e)))
-    return F.array_sort(F.filter(pairs, lambda x: x.isNotNull()))
+    return F.sort_array(F.filter(pairs, lambda x: x.isNotNull()))
 
 
 def normal_float(value: Column) -> Column:
@@ -67,7 +67,7 @@ def normal_text(value: Column) -> Column:
 def normal_map(traces: Column) -> Column:
     """Traces in key order with normal values; an error of any key or value is raised."""
     bad = map_errors(traces)
-    entries = F.transform(F.array_sort(F.map_entries(traces)), lambda e: F.struct(e["key"].alias("key"), normal_text(e["value"]).alias("value")))
+    entries = F.transform(F.sort_array(F.map_entries(traces)), lambda e: F.struct(e["key"].alias("key"), normal_text(e["value"]).alias("value")))
     return F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("traces not valid: "), F.array_join(bad, ", ")))).otherwise(F.map_from_entries(entries))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -11,7 +13,10 @@ from pyspark.sql.types import StringType
 
 @F.arrow_udf(StringType())
 def _nfkc(v: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(v, form="NFKC")
+    # Arrow's own kernel leaves the compatibility form decomposed, so each distinct text is composed once here.
+    d = pc.dictionary_encode(v)
+    forms = [x if x.isascii() else unicodedata.normalize("NFKC", x) for x in d.dictionary.to_pylist()]
+    return pa.array(forms, pa.string()).take(d.indices)
 
 
 def normalized_any(token: Column) -> Column:

@@ -44,7 +44,7 @@ def tally(df: DataFrame, value: Column, name: str = "value") -> DataFrame:
 
 def flag_pairs(df: DataFrame, flags: str, k: int | None = 10) -> DataFrame:
     """Pairs of flags set together, most frequent first; pairs are made inside a row, so nothing is joined."""
-    s = df.select(F.array_sort(F.array_distinct(F.filter(flags, lambda x: x.isNotNull()))).alias("s"))
+    s = df.select(F.sort_array(F.array_distinct(F.filter(flags, lambda x: x.isNotNull()))).alias("s"))
     pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     g = s.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
     return g if k is None else g.orderBy(F.desc("n"), "a", "b").limit(k)
@@ -67,7 +67,7 @@ def vote_drift(votes: DataFrame) -> DataFrame:
     st = st.groupBy(key).agg(F.count(F.lit(1)).alias("statuses"), F.min_by("status", F.struct(-F.col("n"), F.col("status"))).alias("lead_status"))
     fl = votes.select(key, F.explode(F.array_distinct("risk_flags")).alias("flag")).groupBy(key, "flag").agg(F.count(F.lit(1)).alias("n"))
     fl = fl.join(n.select(key, "votes"), key).groupBy(key).agg(
-        F.array_sort(F.collect_list("flag")).alias("any"), F.array_sort(F.collect_list(F.when(F.col("n") == F.col("votes"), F.col("flag")))).alias("all")
+        F.sort_array(F.collect_list("flag")).alias("any"), F.sort_array(F.collect_list(F.when(F.col("n") == F.col("votes"), F.col("flag")))).alias("all")
     )
     d = n.join(st, key, "left").join(fl, key, "left")
     none = F.expr("cast(array() as array<string>)")

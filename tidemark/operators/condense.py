@@ -100,7 +100,7 @@ class Condensed:
     def structures(self) -> DataFrame:
         """scope, structure_id, input, island and noise counts: an id of the scope's inputs and settings."""
         there = self.members.join(self.vectors.select("article_id", "w4_analysis_id"), "article_id")
-        g = there.groupBy("scope", "threshold", "min_size").agg(F.array_sort(F.collect_list("w4_analysis_id")).alias("_w"), F.count(F.lit(1)).alias("input_count"))
+        g = there.groupBy("scope", "threshold", "min_size").agg(F.sort_array(F.collect_list("w4_analysis_id")).alias("_w"), F.count(F.lit(1)).alias("input_count"))
         parts = {
             "input_w4_ids": json_array(F.col("_w")),
             "threshold": F.col("threshold").cast("string"),
@@ -167,7 +167,7 @@ class Condensed:
 
     def observations(self) -> DataFrame:
         """scope, observation_id: id of the report, of the structure and its islands alone."""
-        i = self.islands().groupBy("scope").agg(F.array_sort(F.collect_list("island_id")).alias("_i"))
+        i = self.islands().groupBy("scope").agg(F.sort_array(F.collect_list("island_id")).alias("_i"))
         s = self.structures().join(i, "scope", "left")
         parts = {
             "structure_id": quoted(F.col("structure_id")),

@@ -49,7 +49,7 @@ def traces_of(meta: Column, url: Column | None = None) -> Column:
 
     Two keys that fall together keep the value of the last in key order.
     """
-    entries = F.array_sort(F.filter(F.map_entries(F.coalesce(meta, F.expr("cast(map() as map<string,string>)"))), lambda e: e["value"].isNotNull()))
+    entries = F.sort_array(F.filter(F.map_entries(F.coalesce(meta, F.expr("cast(map() as map<string,string>)"))), lambda e: e["value"].isNotNull()))
     keyed = F.transform(entries, lambda e: F.struct(F.concat(F.lit("legacy:"), F.lower(e["key"])).alias("key"), e["value"].alias("value")))
     if url is not None:
         keyed = F.concat(keyed, F.when(url.isNotNull(), F.array(F.struct(F.lit("meta:retrieval_url").alias("key"), url.alias("value")))).otherwise(F.expr("cast(array() as array<struct<key:string,value:string>>)")))
@@ -90,8 +90,11 @@ POLICIES = {
 }
 
 
-def with_policy_condition(articles: DataFrame, policy: ConditionPolicy) -> DataFrame:
-    """Adds cond: the policy's signature where the article has a context, else the legacy one."""
+def with_policy_condition(articles: DataFrame, policy: ConditionPolicy, referenced: bool = True) -> DataFrame:
+    """Adds cond: the policy's signature where the article names a context, else the legacy one.
+
+    Without ``referenced`` every article is signed by the policy, its own traces being its context.
+    """
     a = with_legacy_condition(articles).withColumn("_t", traces_of(F.col("source_meta"), F.col("source_url")))
-    cond = F.when(F.col("substrate_ref").isNotNull(), policy.signature(F.col("_t"))).otherwise(F.col("cond"))
-    return a.withColumn("cond", cond).drop("_t")
+    signed = policy.signature(F.col("_t"))
+    return a.withColumn("cond", F.when(F.col("substrate_ref").isNotNull(), signed).otherwise(F.col("cond")) if referenced else signed).drop("_t")

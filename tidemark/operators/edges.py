@@ -15,7 +15,7 @@ def centres(vectors: DataFrame, concept: str, vector: str) -> DataFrame:
     """concept, centre: mean vector of each concept."""
     e = vectors.filter(F.col(concept).isNotNull()).select(concept, F.posexplode(vector).alias("i", "x"))
     m = e.groupBy(concept, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return m.groupBy(concept).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
+    return m.groupBy(concept).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
 
 
 def norm(v: Column) -> Column:
@@ -38,7 +38,7 @@ def concept_edges(vectors: DataFrame, ident: str, vector: str, centre: DataFrame
         raise ValueError("more concepts than one block; split the concepts and merge the top lists")
     c = F.array(*[F.struct(F.lit(r[0]).alias("concept"), F.array(*map(F.lit, r[1])).alias("v")) for r in rows])
     scored = F.transform(c, lambda x: F.struct((-F.round(cosine(F.col(vector), x["v"]), 12)).alias("n"), x["concept"].alias("concept")))
-    top = F.slice(F.array_sort(F.filter(scored, lambda x: x["n"] <= -least)), 1, k)
+    top = F.slice(F.sort_array(F.filter(scored, lambda x: x["n"] <= -least)), 1, k)
     return vectors.select(ident, F.explode(top).alias("e")).select(ident, F.col("e.concept").alias(concept), (-F.col("e.n")).alias("raw_score"))
 
 

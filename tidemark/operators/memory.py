@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scores import ALPHA, FORGET, decayed
 from tidemark.operators.skew import fold_by_range
+from tidemark.session import written
 
 
 def replay(observations: DataFrame, alpha: float = ALPHA, partitions: int | None = None) -> DataFrame:
@@ -20,7 +21,8 @@ def replay(observations: DataFrame, alpha: float = ALPHA, partitions: int | None
     are cut by range where one holds many rows. Times are taken in order (ties by event_id); null times or
     fingerprints are left out; an empty input gives no row.
     """
-    o = observations.filter(F.col("fingerprint").isNotNull() & F.col("at").isNotNull())
+    # The log is read, and its fingerprints made, once.
+    o = written(observations.select("fingerprint", "at", "event_id", "tau").filter(F.col("fingerprint").isNotNull() & F.col("at").isNotNull()), "observed")
     tau = o.groupBy("fingerprint").agg(F.min_by("tau", F.struct("at", "event_id")).cast("double").alias("tau"))
     rows = o.select("fingerprint", (F.unix_micros("at")).alias("us"), "event_id").join(tau, "fingerprint")
 

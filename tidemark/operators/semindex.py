@@ -35,7 +35,7 @@ def atom_stats(events: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def cooccurrence(events: DataFrame) -> DataFrame:
     """Pairs of different atoms a < b and in how many events both stand. Pairs are made inside each event's row."""
-    s = events.select(F.array_sort(F.array_distinct(F.filter("atoms", lambda x: x.isNotNull()))).alias("s"))
+    s = events.select(F.sort_array(F.array_distinct(F.filter("atoms", lambda x: x.isNotNull()))).alias("s"))
     pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return s.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 

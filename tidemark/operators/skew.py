@@ -119,7 +119,19 @@ def _sums(keys: Sequence[str], sums: Sequence[str]) -> tuple[Callable[[list[pa.T
         some = lambda f, c: f([x for x in (a[c], b[c]) if x is not None], default=None)
         return {"lo": some(min, "lo"), "hi": some(max, "hi"), "n_rows": a["n_rows"] + b["n_rows"], **{s: a[s] + b[s] for s in sums}}
 
-    return merge_tables, lambda t, s, e: merge_tables([t]), merge
+    def fold(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+        # By runs, not by a hash aggregate, which gives its groups in any order.
+        def extreme(c: str, none: int, pick: np.ufunc) -> pa.Array:
+            a = t.column(c).combine_chunks()
+            known = np.add.reduceat(np.asarray(a.is_valid()).astype(np.int64), starts) > 0
+            return pa.array(pick.reduceat(a.fill_null(none).to_numpy(), starts), mask=~known)
+
+        big = 2**63 - 1
+        state = {"lo": extreme("lo", big, np.minimum), "hi": extreme("hi", -big, np.maximum)}
+        state |= {c: pa.array(np.add.reduceat(t.column(c).to_numpy(), starts)) for c in ("n_rows", *sums)}
+        return pa.table({**{k: t.column(k).take(pa.array(starts)) for k in keys}, **state})
+
+    return merge_tables, fold, merge
 
 
 def _partials(merge):

@@ -26,7 +26,7 @@ def typo_candidates(words: DataFrame, col: str, reference: Sequence[str] = TYPO_
     found = words.filter(F.length(w) >= 3).select(col, hit.alias("hit")).filter(F.size("hit") > 0)
     conf = lambda x: F.round(typo_confidence(x["d"], F.length(w), x["n"]), 9)
     best = F.array_min("hit")
-    ranked = F.array_sort(F.transform("hit", lambda x: F.struct((-conf(x)).alias("c"), x["r"].alias("r"))))
+    ranked = F.sort_array(F.transform("hit", lambda x: F.struct((-conf(x)).alias("c"), x["r"].alias("r"))))
     found = found.select(col, best.alias("b"), ranked.alias("ranked"))
     sure = typo_confidence(F.col("b.d"), F.length(w), F.col("b.n"))
     names = F.array_join(F.transform(F.slice("ranked", 1, most), lambda x: x["r"]), "|")

@@ -48,7 +48,7 @@ def a49_drift_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a47_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per profile: votes, those with a status, with a review asked, and how many different answers."""
     v = _votes(spark, sf_dir)
-    answer = F.sha2(F.concat_ws("|", F.coalesce("status", F.lit("")), F.array_join(F.array_sort(F.coalesce("risk_flags", F.array().cast("array<string>"))), ",")), 256)
+    answer = F.sha2(F.concat_ws("|", F.coalesce("status", F.lit("")), F.array_join(F.sort_array(F.coalesce("risk_flags", F.array().cast("array<string>"))), ",")), 256)
     g = v.groupBy("profile_id").agg(
         F.count(F.lit(1)).alias("votes"),
         F.round(F.avg(F.col("status").isNotNull().cast("double")), 8).alias("status_rate"),
@@ -62,7 +62,7 @@ def a44_like_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes alike in status, band of the estimate and routes stressed, in groups of two or more."""
     v = _votes(spark, sf_dir).filter("status is not null and volatility_estimate is not null")
     band = F.when(F.col("volatility_estimate") >= A.HIGH, "high").when(F.col("volatility_estimate") >= A.LOW, "mid").otherwise("low")
-    routes = F.array_join(F.array_sort(F.coalesce("route_emphasis", F.array().cast("array<string>"))), "")
+    routes = F.array_join(F.sort_array(F.coalesce("route_emphasis", F.array().cast("array<string>"))), "")
     g = A.like_groups(v.withColumns({"band": band, "routes": routes}), ["status", "band", "routes"], "volatility_estimate")
     return g.withColumns({c: F.round(c, 7) for c in ("mean", "cohesion")})
 
@@ -82,7 +82,7 @@ def a32_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("volatility_estimate"), 7).alias("mean"),
         F.max("volatility_estimate").alias("most"),
         *[F.count(F.when(st == s, 1)).alias(s) for s in ("candidate", "defer", "quarantine")],
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("route_emphasis")))), "").alias("routes"),
+        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("route_emphasis")))), "").alias("routes"),
     )
     return g
 

@@ -94,7 +94,7 @@ def h7_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h14_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per key how far the flags of two profiles of auditors contradict each other, and the resulting volatility."""
     v = table(spark, sf_dir, "audit_votes_7cprime").filter("aggregate_key is not null")
-    of = lambda p: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("profile_id") == p, F.col("risk_flags"))))))
+    of = lambda p: F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("profile_id") == p, F.col("risk_flags"))))))
     g = v.groupBy("aggregate_key").agg(of("AUDIT_BALANCED").alias("x"), of("AUDIT_CONSERVATIVE").alias("y"), of("AUDIT_EXPLORATORY").alias("z"))
     c = R.source_conflict(F.col("x"), F.col("y"), CONFLICTS)
     g = g.select("aggregate_key", c.alias("c"), R.dispersion(F.array_union("x", F.array_union("y", "z"))).alias("d"), F.size("z").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.canonical import old_signature, record_id
 from tidemark.operators import stats as S
 from tidemark.operators.conditions import POLICIES, context_id, current_articles, traces_of, with_legacy_condition, with_policy_condition
-from tidemark.plans.text_sql import LEGACY, POLICY, norm, tokens
+from tidemark.plans.text_sql import LEGACY, POLICY, SIGNED, norm, tokens
 from tidemark.session import table
 
 
@@ -81,8 +81,12 @@ def a53_records_per_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("token", "cond").count().groupBy("cond").agg(F.count(F.lit(1)).alias("records"), F.sum("count").alias("tokens"))
 
 
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_policy_condition(current_articles(table(spark, sf_dir, "articles")), POLICIES["standard"], referenced=False)
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _under(spark, sf_dir, _policy(spark, sf_dir))
+    t = _under(spark, sf_dir, _signed(spark, sf_dir))
     return S.scored(t.groupBy("token", "cond").agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -99,7 +103,7 @@ def a54_specificity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w4_resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles projected on the conditions of the specific tokens: one row per article and condition that its tokens meet."""
     top = S.specific_tokens(_scores(spark, sf_dir))
-    long = S.resonance(_under(spark, sf_dir, _policy(spark, sf_dir), valid=False).drop("cond"), top, "article_id")
+    long = S.resonance(_under(spark, sf_dir, _signed(spark, sf_dir), valid=False).drop("cond"), top, "article_id")
     return long.select("article_id", "cond", F.round("r", 6).alias("r"))
 
 
@@ -166,7 +170,7 @@ st as (select *, sum(c) over (partition by token) ca, sum(c) over (partition by
 sc as (select cond, token, c, ca::bigint ca, (c / t) * ln((c / t + 1e-12) / (ca / ta + 1e-12)) s from st where not (c < 2 and ca < 2)),
 tp as (select *, row_number() over (partition by cond, s > 0 order by abs(s) desc, token) k from sc where s <> 0),
 top as (select * from tp where k <= 100)"""
-_OF_TEXT = f"with {_joined(POLICY, 'pol')}, cnt as (select token, cond, count(*) c from tok group by 1, 2), {_SCORED}"
+_OF_TEXT = f"with {_joined(SIGNED, 'pol')}, cnt as (select token, cond, count(*) c from tok group by 1, 2), {_SCORED}"
 _OF_RECORDS = f"""with one as (select emission_id, any_value(token_norm) token, any_value(condition_signature) cond, any_value("count") c from w2_records
   where token_norm is not null and condition_signature is not null and "count" is not null group by 1), cnt as (select token, cond, c from one), {_SCORED}"""
 _TOP = "select cond, case when s > 0 then 'positive' else 'negative' end side, k::bigint \"rank\", token token_norm, round(s, 9) s_score, c \"count\", ca count_all from top"

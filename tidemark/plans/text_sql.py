@@ -76,4 +76,6 @@ POLICY = f"""{LEGACY}, {TRACES},
 tl as (select article_id, list(tkey order by tkey) tk, list(tval order by tkey) tv from ent2 group by 1),
 pt0 as (select c.article_id, c.doc_id, c.cond, c.substrate_ref, coalesce(tk, []) tk, coalesce(tv, []) tv from leg c left join tl using (article_id)),
 pol as (select article_id, doc_id, tk, case when substrate_ref is not null then {_signature('standard', ('legacy:source_type', 'legacy:language_profile'))} else cond end cond from pt0)"""
+#: The same with every article signed by the policy.
+SIGNED = POLICY.replace("case when substrate_ref is not null then ", "").replace(" else cond end cond from pt0", " cond from pt0")
 STOP_SQL = ", ".join(map(lit, STOPWORDS))

@@ -73,11 +73,11 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 def report_markdown(observation: DataFrame, islands: DataFrame, evidence: DataFrame, k: int = 10) -> DataFrame:
     """scope and text of a report per scope: its islands by size with cohesion and leading evidence."""
-    e = evidence.filter(F.col("rank") <= k).groupBy("scope", "first").agg(F.array_sort(F.collect_list(F.struct("rank", "token", "score"))).alias("_e"))
+    e = evidence.filter(F.col("rank") <= k).groupBy("scope", "first").agg(F.sort_array(F.collect_list(F.struct("rank", "token", "score"))).alias("_e"))
     tokens = F.array_join(F.transform("_e", lambda x: F.concat(F.lit("- "), x["token"], F.lit(" ("), F.format_string("%.8f", x["score"]), F.lit(")"))), "\n")
     i = islands.join(e, ["scope", "first"], "left")
     part = F.concat(F.lit("## "), F.col("island_id"), F.lit("\n\nSize: "), F.col("size").cast("string"), F.lit("\nCohesion: "), fixed(F.col("cohesion"), 6), F.lit("\n\n"), F.coalesce(tokens, F.lit("")))
-    body = i.withColumn("_p", part).groupBy("scope").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("n"), "island_id", "_p"))), lambda x: x["_p"]).alias("_b"))
+    body = i.withColumn("_p", part).groupBy("scope").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("n"), "island_id", "_p"))), lambda x: x["_p"]).alias("_b"))
     o = observation.join(body, "scope", "left")
     head = F.concat(F.lit("# Observation "), F.col("observation_id"), F.lit("\n\nIslands: "), F.col("island_count").cast("string"), F.lit("\nNoise: "), F.col("noise_count").cast("string"), F.lit("\n\n"))
     return o.select("scope", F.concat(head, F.coalesce(F.array_join("_b", "\n\n"), F.lit(""))).alias("text"))
