@@ -32,7 +32,7 @@ def route_scores(typo: Column, title_like: Column, proper: Column, capitalized:
 def decision(scores: Column) -> Column:
     """Struct (winner, margin, entropy): A to D by the largest score, the first on a tie; null where the spread is too even."""
     total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x)
-    probs = F.transform(scores, lambda x: x / total)
+    probs = F.transform(scores, lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0)))
     m, e = margin(probs), entropy_nats(probs)
     first = F.array_position(scores, F.array_max(scores)).cast("int")
     winner = F.element_at(F.array(*map(F.lit, "ABCD")), first)

@@ -59,9 +59,10 @@ def weighted(edges: DataFrame, by: str, temperature: float = 0.1) -> DataFrame:
     return e.withColumn("weight", softmax(F.col("raw_score"), F.col("_t"), total, temperature)).drop("_t")
 
 
-def most_hit(edges: DataFrame, ident: str, k: int = 500) -> DataFrame:
-    """ident, hits: how many edges each has, the most first, ties by id."""
-    return edges.groupBy(ident).agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), ident).limit(k)
+def most_hit(edges: DataFrame, ident: str, k: int | None = 500) -> DataFrame:
+    """ident, hits: how many edges each has; with ``k`` those with most, ties by id."""
+    g = edges.groupBy(ident).agg(F.count(F.lit(1)).alias("hits"))
+    return g if k is None else g.orderBy(F.desc("hits"), ident).limit(k)
 
 
 def concept_scores(token_idents: DataFrame, edges: DataFrame, ident: str, concept: str, k: int | None = 5) -> DataFrame:

@@ -68,7 +68,7 @@ def t14_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a61_most_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.most_hit(_edges(spark, sf_dir), "vec_id", 10**9)
+    return E.most_hit(_edges(spark, sf_dir), "vec_id", None)
 
 
 def a22_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,20 +27,26 @@ def _with_bad(schema: str) -> T.StructType:
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Articles of a file or folder of ``*.json``; each file holds one object or a list of objects. Unreadable files give no row."""
-    d = spark.read.schema(_with_bad(ARTICLE)).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.json").json(path)
-    return d.filter("_bad is null").drop("_bad")
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    row = f"struct<{', '.join(':'.join(f.split(' ', 1)) for f in ARTICLE.split(', '))}>"
+    how = {"timestampFormat": TIMES}
+    rows = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{row}>", how)).otherwise(F.array(F.from_json("value", row, how)))
+    return files.select(F.explode(rows).alias("a")).filter("a.article_id is not null or a.text is not null").select("a.*")
+
+
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", _with_bad(schema), {"columnNameOfCorruptRecord": "_bad", "timestampFormat": TIMES}).alias("row"))
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; blank lines are skipped, bad ones left out."""
-    d = spark.read.schema(_with_bad(schema)).option("columnNameOfCorruptRecord", "_bad").option("timestampFormat", TIMES).json(path)
-    return d.filter("_bad is null").drop("_bad")
+    return _parsed(spark, path, schema).filter("row._bad is null").select("row.*").drop("_bad")
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The lines (bad) that ``read_lines`` leaves out."""
-    d = spark.read.schema(_with_bad(schema)).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return d.select(F.col("_bad").alias("bad"), *[c for c in d.columns if c != "_bad"]).filter("bad is not null").select("bad")
+    return _parsed(spark, path, schema).select(F.col("row._bad").alias("bad")).filter("bad is not null")
 
 
 def read_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -48,7 +54,7 @@ def read_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Files are read whole by one task each, as the rule depends on the order of lines in a file.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     lines = lines.filter(F.trim("text") != "")
     parsed = lines.withColumn("row", F.from_json("text", _with_bad(schema), {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
@@ -79,7 +85,7 @@ def read_synapses(spark: SparkSession, path: str) -> DataFrame:
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """Levels of a glossary as concept_id, axis, level, definition: a map of concepts, alone or under ``glossary``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     level = "struct<definition_en:string>"
     axes = f"struct<final_json:struct<axes:map<string,map<string,{level}>>>>"
     plain = F.from_json("value", f"map<string,{axes}>")
