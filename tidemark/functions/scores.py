@@ -77,3 +77,23 @@ def link_weight(count: Column, seconds: Column, tau: float = 86400.0) -> Column:
 def softmax(score: Column, top: Column, total: Column, temperature: float = 0.1) -> Column:
     """Share of a score: ``top`` and ``total`` are the group's largest score and its sum of shifted exponentials."""
     return F.exp((score - top) / temperature) / total
+
+
+def priority(count: Column, days: Column, known: Column) -> Column:
+    """How urgent a waiting word is: often, lately and with known senses; four places."""
+    often = F.least(F.lit(1.0), F.sqrt(count / 100.0))
+    return F.round(often * F.greatest(F.lit(0.1), 1 - days / 30.0) * F.when(known, 1.0).otherwise(0.5), 4)
+
+
+def risk_band(score: Column) -> Column:
+    return F.when(score < 0.3, "balanced").when(score < 0.6, "moderate").when(score < 0.9, "high").otherwise("severe")
+
+
+def data_weight(n: Column) -> Column:
+    """How much the data count against the structure after n observations."""
+    return F.least(F.lit(0.7), n * 0.007)
+
+
+def level_score(position: Column, levels: Column) -> Column:
+    """Score of the level at a position (from 0) of an axis; two places."""
+    return F.round((position + 1) / levels, 2)
