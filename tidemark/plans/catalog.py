@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import audit_queries, event_queries, file_queries, graph_queries, island_queries, lookup_queries, registry_queries, segment_queries, skew_queries, stats_queries, text_queries
+from tidemark.plans import audit_queries, event_queries, file_queries, graph_queries, island_queries, lookup_queries, registry_queries, segment_queries, skew_queries, stats_queries, summary_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [skew_queries, text_queries, segment_queries, stats_queries, island_queries, event_queries, registry_queries, audit_queries, graph_queries, lookup_queries, file_queries]
+MODULES = [skew_queries, text_queries, segment_queries, stats_queries, island_queries, event_queries, registry_queries, audit_queries, graph_queries, lookup_queries, summary_queries, file_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
