@@ -31,3 +31,19 @@ def test_terms_always_go_through_pieces(tmp_path, monkeypatch, piece_rows):
 
 def test_no_rows(tmp_path):
     assert list(termfreq._task(str(tmp_path), 40)(iter([]))) == []
+
+
+def test_terms_whose_first_bits_agree(tmp_path):
+    # Many terms are split as deep as their hashes need, one heavy term isn't split for ever.
+    heavy = pa.RecordBatch.from_arrays([pa.array(["one"] * 500), pa.array(range(500)), pa.array([1] * 500), pa.array([1] * 500)], names=["term", "emission", "total", "records"])
+    many = batch(2000)
+    out = pa.Table.from_batches(termfreq._task(str(tmp_path), 3)(iter([heavy, many]))).to_pylist()
+    got = {r["term"]: r["emissions"] for r in out}
+    wished = Counter(None if i % 50 == 0 else f"t{i % 97}" for i in range(2000))
+    # Emissions are numbered anew in each batch, so those below 500 are counted for both.
+    assert got["one"] == 500 and {k: v for k, v in got.items() if k != "one"} == wished
+
+
+def test_writes_only_in_the_given_folder(tmp_path):
+    list(termfreq._task(str(tmp_path), 40)(iter([batch(200)])))
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []

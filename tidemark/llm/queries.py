@@ -122,7 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _FREQ = """
-with once as (select emission_id, any_value(token_norm) token_norm, any_value("count") c, any_value(doc_freq) d from w2_records group by 1),
+with once as (select emission_id, any_value(token_norm) token_norm, any_value("count") c, any_value(doc_freq) d from w2_records where emission_id is not null group by 1
+  union all select emission_id, token_norm, "count", doc_freq from w2_records where emission_id is null),
 f as (select token_norm, count(*)::bigint emissions, coalesce(sum(c), 0)::bigint total_count, coalesce(sum(d), 0)::bigint total_doc_freq
   from once group by 1),
 m as (select *, case when emissions >= 0.002 * (select sum(emissions) from f) then 'common' when total_doc_freq <= 2 then 'rare' end mark

@@ -1,14 +1,15 @@
 """Frequency of every distinct term by recursive radix spilling.
 
-Rows are spread over tasks by their emission (so a heavy term never lands in one task). Inside a task,
-terms are radix-partitioned by hash bits to files, oversized partitions are split again by the next bits, and every partition is aggregated out-of-core by DuckDB. The partial
-counts of the tasks, one row per term and task, are then added up.
+Rows are spread over tasks by their emission (so a heavy term never lands in one task). Inside a task, terms are
+radix-partitioned by hash bits to files, oversized partitions are split again by the next bits, and every partition
+is aggregated out-of-core by DuckDB. The partial counts of the tasks, one row per term and task, are then added up.
 """
 
 from __future__ import annotations
 
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ def _split(t: pa.Table, depth: int, folder: str, files: dict) -> None:
     for p in np.unique(part):
         piece = t.take(pa.array(np.flatnonzero(part == p)))
         if p not in files:
-            path = os.path.join(folder, f"{len(os.listdir(folder))}-{depth}-{p}.parquet")
+            path = os.path.join(folder, f"{uuid.uuid4().hex}-{depth}-{p}.parquet")
             files[p] = [pq.ParquetWriter(path, t.schema, compression="lz4"), path, 0]
         files[p][0].write_table(piece)
         files[p][2] += piece.num_rows
@@ -68,6 +69,15 @@ def _aggregate(piece: str, folder: str) -> pa.Table:
         con.close()
 
 
+def _one_term(piece: str) -> bool:
+    terms: set = set()
+    for b in pq.ParquetFile(piece).iter_batches(columns=["term"]):
+        terms.update(pc.unique(b.column(0)).to_pylist())
+        if len(terms) > 1:
+            return False
+    return True
+
+
 def _spilled(files: dict, depth: int, folder: str, piece_rows: int) -> Iterator[pa.RecordBatch]:
     for writer, _, _ in files.values():
         writer.close()
@@ -77,13 +87,14 @@ def _spilled(files: dict, depth: int, folder: str, piece_rows: int) -> Iterator[
             for b in pq.ParquetFile(path).iter_batches(batch_size=piece_rows):
                 _split(pa.Table.from_batches([b]), depth + 1, folder, deeper)
             os.unlink(path)
-            # a piece that no bits can split holds one term; DuckDB aggregates it out-of-core
             if len(deeper) == 1:
+                # These bits split nothing: a single term is left to DuckDB, which aggregates out of core; others go on.
                 (writer, only, _), = deeper.values()
                 writer.close()
-                yield from _aggregate(only, folder).to_batches()
-            else:
-                yield from _spilled(deeper, depth + 1, folder, piece_rows)
+                if _one_term(only):
+                    yield from _aggregate(only, folder).to_batches()
+                    continue
+            yield from _spilled(deeper, depth + 1, folder, piece_rows)
         else:
             yield from _aggregate(path, folder).to_batches()
 
