@@ -4,6 +4,9 @@ The vocabulary is matched with one Aho-Corasick pass per word over its bytes, ma
 longest match at each position the encoder backtracks to shorter prefixes until neighbouring tokens are
 compatible, which gives exactly the merges of the greedy rank order. Whether two tokens may stand next to
 each other is memoised, and so is the encoding of words already seen.
+
+The compatibility test and the backtracking follow the idea that GitHub published with its ``bpe`` crate (rust-gems
+repository, MIT licence).
 """
 
 from __future__ import annotations
@@ -175,10 +178,9 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str | None = N
     Null and empty texts give an empty list, never null; names of special tokens are ordinary text; very long
     texts are encoded whole. A null id stays; repeated rows come out as often as they came in.
     """
-    file = path or vocabulary()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(file)
+        # Looked up where the task runs: a worker may keep the vocabulary elsewhere than the driver.
+        enc = encoder(path or vocabulary())
         for b in batches:
             lists = [enc.encode(t) for t in b.column(1).to_pylist()]
             offsets = np.zeros(len(lists) + 1, np.int32)
