@@ -32,7 +32,7 @@ EXACT = 1e-12
 BLOCKS = "block int, ids array<string>, label array<int>, matrix binary"
 
 
-def _dense(keys: pa.ChunkedArray, values: pa.ChunkedArray, at: dict[str, int]) -> np.ndarray:
+def _dense(keys: pa.ChunkedArray, values: pa.ChunkedArray, at: dict[int, int]) -> np.ndarray:
     s = Sparse(keys, values)
     out = np.zeros((len(s), len(at)))
     out[s.row, np.array([at[n] for n in s.names], np.int64)[s.dim]] = s.val
@@ -79,7 +79,7 @@ def _joins(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _place(pivots: np.ndarray, at: dict[str, int]):
+def _place(pivots: np.ndarray, at: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -89,7 +89,7 @@ def _place(pivots: np.ndarray, at: dict[str, int]):
     return run
 
 
-def _block(at: dict[str, int], least: float):
+def _block(at: dict[int, int], least: float):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
         m = _dense(t.column("keys"), t.column("values"), at)
@@ -178,7 +178,7 @@ def _islands(df: DataFrame, id_col: str, map_col: str, order_col: str, least_cos
     if not sample.num_rows:
         none = member.select("id", F.col("rep").alias("first")).limit(0)
         return none, reps.select("rep", "keys", "values", F.lit(0).alias("cell")), member
-    placed = reps.select("rep", "keys", "values").mapInArrow(_place(_dense(sample.column("keys"), sample.column("values"), at), at), "rep string, keys array<string>, values array<double>, cell int")
+    placed = reps.select("rep", "keys", "values").mapInArrow(_place(_dense(sample.column("keys"), sample.column("values"), at), at), "rep string, keys array<bigint>, values array<double>, cell int")
     placed = written(placed, "placed")
     # Cells in order are packed into blocks; one that outgrows a block is cut by hash.
     rows, count, room = [], 0, block_rows

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 def vector_rows(df: DataFrame, id_col: str, map_col: str, order_col: str | None = None) -> DataFrame:
     """One row (id, keys, values) per id with a direction: keys ascending, zeros and nulls dropped, length 1.
 
+    A key is the 64-bit hash of its dimension's name, a quarter of the bytes of a name to shuffle.
+
     Of several rows of an id the one latest by ``order_col`` holds (ties by the vector itself). Null ids,
     null and empty vectors and vectors of length 0 (or not finite) have no row. Values are rounded to 12
     places so that equal directions meet.
     """
     entries = F.filter(F.map_entries(map_col), lambda e: e["value"].isNotNull() & (e["value"] != 0) & ~F.isnan(e["value"]))
-    v = df.select(F.col(id_col).cast("string").alias("id"), F.sort_array(entries).alias("e"), (F.col(order_col) if order_col else F.lit(0)).alias("o"))
+    hashed = F.transform(entries, lambda e: F.struct(F.xxhash64(e["key"]).alias("key"), e["value"].alias("value")))
+    v = df.select(F.col(id_col).cast("string").alias("id"), F.sort_array(hashed).alias("e"), (F.col(order_col) if order_col else F.lit(0)).alias("o"))
     v = v.filter(F.col("id").isNotNull() & (F.size("e") > 0))
     v = v.groupBy("id").agg(F.max(F.struct("o", "e"))["e"].alias("e"))
     top = F.array_max(F.transform("e", lambda x: F.abs(x["value"])))
@@ -28,7 +31,7 @@ def vector_rows(df: DataFrame, id_col: str, map_col: str, order_col: str | None
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + (x["value"] / F.col("top")) * (x["value"] / F.col("top"))))
     v = v.withColumn("norm", norm)
     keys = F.transform("e", lambda x: x["key"])
-    values = F.transform("e", lambda x: F.round(x["value"] / F.col("top") / F.col("norm"), 12))
+    values = F.transform("e", lambda x: F.rint(x["value"] / F.col("top") / F.col("norm") * 1e12) / 1e12)
     return v.select("id", keys.alias("keys"), values.alias("values"))
 
 
@@ -37,7 +40,8 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The representative is the smallest id. The fold of a class keeps only its smallest id per task.
     """
-    key = F.sha2(F.concat_ws("|", F.concat_ws(",", "keys"), F.concat_ws(",", F.transform("values", lambda x: F.round(x, 9).cast("string")))), 256)
+    rounded = F.transform("values", lambda x: F.rint(x * 1e9))
+    key = F.struct(F.xxhash64("keys", rounded).alias("a"), F.xxhash64(F.lit(1), "keys", rounded).alias("b"))
     keyed = vectors.withColumn("k", key)
     reps = keyed.groupBy("k").agg(F.min("id").alias("rep"))
     member = keyed.select("id", "k").join(reps, "k").select("id", "rep")
@@ -69,10 +73,10 @@ class Sparse:
         return out
 
 
-_drawn: dict[tuple[str, int, int], np.ndarray] = {}
+_drawn: dict[tuple[int, int, int], np.ndarray] = {}
 
 
-def stable_directions(names: list[str], width: int, seed: int) -> np.ndarray:
+def stable_directions(names: list, width: int, seed: int) -> np.ndarray:
     """Normal (2-stable) coefficients of each dimension, drawn from a hash of its name: the same on every task."""
     if len(_drawn) > 200_000:
         _drawn.clear()
@@ -80,7 +84,7 @@ def stable_directions(names: list[str], width: int, seed: int) -> np.ndarray:
     for i, n in enumerate(names):
         k = (n, width, seed)
         if k not in _drawn:
-            h = int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8, salt=str(seed).encode()[:8]).digest(), "little")
+            h = int.from_bytes(hashlib.blake2b(str(n).encode(), digest_size=8, salt=str(seed).encode()[:8]).digest(), "little")
             _drawn[k] = np.random.default_rng(h).standard_normal(width)
         out[i] = _drawn[k]
     return out
@@ -106,4 +110,4 @@ def with_projection(vectors: DataFrame, width: int, seed: int, id_col: str = "re
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, width, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[id_col, "keys", "values", "p"])
 
-    return vectors.select(id_col, "keys", "values").mapInArrow(run, f"{id_col} string, keys array<string>, values array<double>, p array<double>")
+    return vectors.select(id_col, "keys", "values").mapInArrow(run, f"{id_col} string, keys array<bigint>, values array<double>, p array<double>")
