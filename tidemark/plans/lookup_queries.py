@@ -10,7 +10,7 @@ from tidemark.operators import keyed_state as S
 from tidemark.operators import lookup as L
 from tidemark.plans.event_queries import LEVELS, molecules
 from tidemark.plans.graph_queries import _EDGES, _edges
-from tidemark.session import table
+from tidemark.session import spread, table
 
 NOW = "2026-01-01 00:00:00"
 
@@ -26,7 +26,7 @@ def a59_trigger_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j10_triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three suites whose answers' words stand most often in each document."""
-    m = L.triggered(table(spark, sf_dir, "documents"), "doc_id", "text", _index(spark, sf_dir), "concept", 3)
+    m = L.triggered(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", _index(spark, sf_dir), "concept", 3)
     return m.select("doc_id", F.col("rank").cast("long").alias("rank"), "concept", "score", "words")
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.spans import SPACE
 from tidemark.operators import segment as G
 from tidemark.plans.text_sql import RUN_SQL, lit
-from tidemark.session import table
+from tidemark.session import spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _rows(name: str):

@@ -9,11 +9,11 @@ from tidemark.functions.canonical import old_signature, record_id
 from tidemark.operators import stats as S
 from tidemark.operators.conditions import POLICIES, context_id, current_articles, traces_of, with_legacy_condition, with_policy_condition
 from tidemark.plans.text_sql import LEGACY, POLICY, SIGNED, norm, tokens
-from tidemark.session import table
+from tidemark.session import spread, table
 
 
 def _tokens(spark: SparkSession, sf_dir: str, valid: bool = True) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(F.col("article_id").isNotNull())
+    d = spread(table(spark, sf_dir, "documents").filter(F.col("article_id").isNotNull()).select("article_id", "text", "published_at"))
     return S.token_rows(d.withColumnRenamed("published_at", "ts"), "article_id", "text", "ts", valid=valid)
 
 
@@ -26,7 +26,7 @@ def a2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens read and counted over the corpus; every number adds up per article, so one small row per task is shuffled."""
     from tidemark.functions.text import hybrid_tokens, normalized, valid_token
 
-    d = table(spark, sf_dir, "documents").filter(F.col("article_id").isNotNull()).select(hybrid_tokens(F.col("text")).alias("t"))
+    d = spread(table(spark, sf_dir, "documents").filter(F.col("article_id").isNotNull()).select("text")).select(hybrid_tokens(F.col("text")).alias("t"))
     n = F.size(F.filter("t", lambda s: valid_token(normalized(s))))
     return d.agg(F.count(F.lit(1)).alias("articles"), F.sum(F.size("t").cast("long")).alias("raw_tokens"), F.sum(n.cast("long")).alias("valid_tokens"))
 
@@ -45,7 +45,7 @@ def a52_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _under(spark: SparkSession, sf_dir: str, conditioned: DataFrame, valid: bool = True) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("article_id", "text")
-    return S.token_rows(conditioned.select("article_id", "cond").join(d, "article_id"), "article_id", "text", "cond", valid=valid)
+    return S.token_rows(conditioned.select("article_id", "cond").join(spread(d), "article_id"), "article_id", "text", "cond", valid=valid)
 
 
 def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators.stats import token_rows
 from tidemark.plans.text_sql import CJK_SQL, RUN_SQL, STOP_SQL, WORD_SQL, bigrams, lit, norm, raw_tokens
-from tidemark.session import table
+from tidemark.session import spread, table
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _listed(make) -> object:
     """Query giving doc_id, n and the digest of a list of words made from each text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = table(spark, sf_dir, "documents").select("doc_id", make(F.col("text")).alias("w"))
+        d = _docs(spark, sf_dir).select("doc_id", make(F.col("text")).alias("w"))
         return d.filter(F.col("w").isNotNull()).select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
     return run
@@ -26,13 +30,13 @@ def _listed_sql(expr: str) -> str:
 
 
 def f5_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = token_rows(table(spark, sf_dir, "documents"), "doc_id", "text", valid=False)
+    t = token_rows(_docs(spark, sf_dir), "doc_id", "text", valid=False)
     g = t.groupBy("surface").agg(F.any_value("token").alias("token"), F.count(F.lit(1)).alias("n"), F.sum(F.col("first").cast("long")).alias("_"))
     return g.select("surface", "token", T.valid_token(F.col("token")).alias("valid"), "n")
 
 
 def wn11_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", T.plain_words(F.col("text")).alias("p"))
+    w = _docs(spark, sf_dir).filter(F.col("text").isNotNull()).select("doc_id", T.plain_words(F.col("text")).alias("p"))
     g = w.select("doc_id", T.ngrams(F.col("p"), 2, 5).alias("w"))
     return g.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
@@ -45,7 +49,7 @@ def f12_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct word of the corpus that may be a slip of a reference word, with the nearest one and up to three by confidence."""
     from tidemark.operators.words import typo_candidates
 
-    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.plain_words(F.col("text")))).alias("word")).distinct()
+    words = _docs(spark, sf_dir).select(F.explode(F.array_distinct(T.plain_words(F.col("text")))).alias("word")).distinct()
     return typo_candidates(words, "word")
 
 

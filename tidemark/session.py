@@ -67,3 +67,12 @@ def task_scratch(shared: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the files leave most of them idle, as one unsplittable file does; else ``df`` itself.
+
+    For work that is heavy per row, such as on whole texts. Columns not needed should be dropped first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
