@@ -15,7 +15,11 @@ from tidemark.llm.nearest import nearest_of, similar_pairs
 from tidemark.llm.plain_text import plain_forms
 from tidemark.llm.spam_pages import page_scores, spam_pages
 from tidemark.llm.termfreq import marked, term_frequency
-from tidemark.session import table
+from tidemark.session import spread, table
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "source_type"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_texts(_docs(spark, sf_dir), "doc_id", "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,19 +89,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return item_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return item_leaks(_docs(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaned_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return cleaned_texts(_docs(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "source", ["lang", "source_type"])
+    return spam_pages(_docs(spark, sf_dir), "doc_id", "text", "source", ["lang", "source_type"])
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_scores(table(spark, sf_dir, "documents"), "doc_id", "text", "source", ["lang", "source_type"])
+    return page_scores(_docs(spark, sf_dir), "doc_id", "text", "source", ["lang", "source_type"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
