@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scores import entropy_bits, specificity
 from tidemark.functions.text import normalized, tokenizer, valid_token
+from tidemark.session import written
 
 # How many surface forms a token keeps by name, and the longest of them.
 FORMS, LONG = 50, 50
@@ -97,9 +98,10 @@ def scored(pairs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     """Specificity of every (token, cond, count) row, less those rare both under the condition and overall.
 
     Totals come from the rows themselves: a token's count over all conditions, a condition's over all tokens. Tokens
-    that a condition lacks score exactly 0 and are no candidates, so they aren't made up.
+    that a condition lacks score exactly 0 and are no candidates, so they aren't made up. The pairs are written once,
+    as they are read for each of the totals: the corpus below them is not tokenised again.
     """
-    p = pairs.groupBy("token", "cond").agg(F.sum("count").alias("count"))
+    p = written(pairs.groupBy("token", "cond").agg(F.sum("count").alias("count")), "pairs")
     by_token = p.groupBy("token").agg(F.sum("count").alias("count_all"))
     by_cond = p.groupBy("cond").agg(F.sum("count").alias("total"))
     whole = by_cond.agg(F.sum("total").alias("total_all"))

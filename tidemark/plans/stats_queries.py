@@ -9,7 +9,7 @@ from tidemark.functions.canonical import old_signature, record_id
 from tidemark.operators import stats as S
 from tidemark.operators.conditions import POLICIES, context_id, current_articles, traces_of, with_legacy_condition, with_policy_condition
 from tidemark.plans.text_sql import LEGACY, POLICY, SIGNED, norm, tokens
-from tidemark.session import spread, table
+from tidemark.session import spread, table, written
 
 
 def _tokens(spark: SparkSession, sf_dir: str, valid: bool = True) -> DataFrame:
@@ -37,7 +37,7 @@ def a3_surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a52_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most frequent and the ten most varied tokens of the global statistics."""
-    g = a1_token_stats(spark, sf_dir).select("token_norm", "total_count", "entropy")
+    g = written(a1_token_stats(spark, sf_dir).select("token_norm", "total_count", "entropy"), "stats")
     by_count = g.orderBy(F.desc("total_count"), "token_norm").limit(10).withColumn("by", F.lit("count"))
     by_entropy = g.orderBy(F.desc("entropy"), "token_norm").limit(10).withColumn("by", F.lit("entropy"))
     return by_count.unionByName(by_entropy)
@@ -87,7 +87,7 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _under(spark, sf_dir, _signed(spark, sf_dir))
-    return S.scored(t.groupBy("token", "cond").agg(F.count(F.lit(1)).alias("count")))
+    return S.scored(t.withColumn("count", F.lit(1).cast("long")))
 
 
 def w3_specific_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
