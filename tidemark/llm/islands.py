@@ -48,6 +48,19 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return got
 
 
+def link_pairs(a: np.ndarray, b: np.ndarray, a32: np.ndarray, b32: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``a`` and ``b`` that are linked, also given in single precision: few pairs come near the bound, and only these are looked at."""
+    s = (a32 @ b32.T).ravel()
+    hit = np.flatnonzero(s >= np.float32(least - NEAR))
+    if not len(hit):
+        return hit, hit
+    r, c = np.divmod(hit, len(b))
+    close = np.flatnonzero(s[hit] < least + NEAR)
+    keep = np.ones(len(hit), bool)
+    keep[close] = np.einsum("ij,ij->i", a[r[close]], b[c[close]]) >= least - EXACT
+    return r[keep], c[keep]
+
+
 def components(links: np.ndarray) -> np.ndarray:
     """First row of the component of every row of a symmetric matrix of links."""
     label = np.full(len(links), -1, np.int32)
@@ -111,7 +124,8 @@ def _across(path: str, dims: int, least: float):
         def load(n: int):
             t = ds.dataset(f"{root}/at={n}", filesystem=fs, format="parquet").to_table(columns=["ids", "label", "matrix"])
             m = np.frombuffer(t.column("matrix")[0].as_py(), np.float64).reshape(-1, dims)
-            return t.column("ids")[0].as_py(), np.array(t.column("label")[0].as_py(), np.int64), m
+            label = t.column("label").combine_chunks().flatten().to_numpy().astype(np.int64)
+            return t.column("ids").combine_chunks().flatten(), label, m, m.astype(np.float32)
 
         held: tuple = (None, None)
         for batch in batches:
@@ -122,12 +136,12 @@ def _across(path: str, dims: int, least: float):
                 j = n - i * (i - 1) // 2
                 if held[0] != i:
                     held = (i, load(i))
-                (ids, own, a), (others, theirs, b) = held[1], load(j)
-                r, c = np.nonzero(linked(a, b, least))
+                (ids, own, a, a32), (others, theirs, b, b32) = held[1], load(j)
+                r, c = link_pairs(a, b, a32, b32, least)
                 both = np.unique(own[r] * len(theirs) + theirs[c])
                 for x, y in _joins(both // len(theirs), both % len(theirs)):
-                    u.append(ids[x])
-                    v.append(others[y])
+                    u.append(ids[x].as_py())
+                    v.append(others[y].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], names=["u", "v"])
 
     return run
