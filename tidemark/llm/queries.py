@@ -134,8 +134,21 @@ m as (select *, case when emissions >= 0.002 * (select sum(emissions) from f) th
   from f where token_norm is not null)"""
 
 
+#: Cosines of all pairs of articles, by the latest vector of each.
+_PAIRS = """
+v as (select * from (select *, row_number() over (partition by article_id order by computed_at desc nulls last) k from w4_records where article_id is not null) where k = 1),
+e as (select article_id, x.key d, x.value v from (select article_id, unnest(map_entries(resonance_vector)) x from v)),
+f as (select * from e where v is not null and not isnan(v) and v <> 0), n as (select article_id, sqrt(sum(v * v)) n from f group by 1),
+u as (select article_id, d, v / n v from f join n using (article_id)),
+c as (select p.article_id a, q.article_id b, round(sum(p.v * q.v), 12) c from u p join u q on p.d = q.d and p.article_id < q.article_id group by 1, 2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"with {_PAIRS} select a article_a, b article_b from c where c >= 0.999",
+        "p2_found": f"""with recursive {_PAIRS}, l as (select a x, b y from c where c >= 0.7 union all select b, a from c where c >= 0.7),
+r as (select article_id x, article_id y from n union select r.x, l.y from r join l on l.x = r.y),
+g as (select x, min(y) f, count(*) size from r group by 1) select x article_id, f island_first from g where size >= 3""",
         "p5_found": f"{_FREQ} select token_norm, mark from m where mark is not null",
         "p5_frequency": f"{_FREQ} select * from m",
     }
