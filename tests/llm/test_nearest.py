@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from vectors_by_hand import directions
 
 import __spark_entry__
@@ -52,3 +53,28 @@ def test_recall_of_the_nearest(spark, monkeypatch, cell):
         total += 5
         assert len(near) == len({o for _, o, _ in near}) <= 5
     assert total > 4000 and hit / total >= 0.9
+
+
+@pytest.mark.parametrize("cell", [nearest.CELL, 8])
+def test_vectors_of_one_direction_are_neighbours_and_ties_go_by_id(spark, monkeypatch, cell):
+    monkeypatch.setattr(nearest, "CELL", cell)
+    rng = np.random.default_rng(4)
+    lone = rng.standard_normal((12, 6))
+    m = [*lone, *np.repeat(lone[:3], 2, 0) * 3.5, *np.repeat(lone[3:4], 9, 0) * 0.25]
+    # Twenty-four vectors that all have the same cosine with "hub", and two pairs of them with one direction.
+    tied = [("hub", {"h": 1.0}), *((f"t{i:02d}", {"h": 1.0, f"s{i % 22}": 1.0}) for i in range(24))]
+    rows = [(f"v{i:02d}", 1, {f"d{j}": float(x) for j, x in enumerate(v)}) for i, v in enumerate(m)] + [(i, 1, v) for i, v in tied]
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([rows[i] for i in order], "id string, at int, v map<string,double>")
+    ids, u = directions(rows)
+    cos = np.round(u @ u.T, 9)
+    want = {}
+    for i, name in enumerate(ids):
+        best = sorted((-cos[i, j], o) for j, o in enumerate(ids) if j != i)[:5]
+        want[name] = [(o, pytest.approx(-c, abs=2e-9)) for c, o in best]
+    got: dict = {}
+    for r in nearest_of(df, "id", "v", "at", 5).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["other"], r["cosine"]))
+    assert got == want
+    some = nearest_of(df, "id", "v", "at", 5, F.col("id").isin("v03", "v20", "hub")).orderBy("id", "rank").collect()
+    assert [(r["id"], r["rank"], r["other"]) for r in some] == [(i, n + 1, want[i][n][0]) for i in ("hub", "v03", "v20") for n in range(5)]

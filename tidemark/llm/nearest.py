@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chi2 import chi2_quantile
@@ -25,6 +25,8 @@ from tidemark.session import written
 WIDTH, SEED, BUCKET, CELL = 8, 11, 32, 4000
 #: Projected points that the cells are cut by (the only sample; every vector is indexed).
 SAMPLE = 50_000
+#: Decimal places by which the nearest are ranked (what is equal in these is a tie).
+PLACES = 9
 PAIR = "rep string, other string, cosine double"
 
 
@@ -101,7 +103,7 @@ def search_cell(s: Sparse, p: np.ndarray, data: np.ndarray, query: np.ndarray, k
 
     ``reach2`` bounds the squared distance of wished neighbours. Queries are worked bucket by bucket: the
     data buckets are met in the order of their projected distance to the query bucket, until the test
-    holds for every query of the bucket.
+    holds for every query of the bucket. With ``k`` cosines are rounded to ``PLACES``, ties go by row.
     """
     bound = chi2_quantile(confidence, p.shape[1])
     trees = [data[b] for b in _buckets(p[data])]
@@ -143,11 +145,11 @@ def search_cell(s: Sparse, p: np.ndarray, data: np.ndarray, query: np.ndarray, k
                 q, j = np.nonzero(likely & (2 - 2 * cos <= reach2 + 1e-9))
                 out.append((qb[q], rows[j], cos[q, j]))
                 continue
-            all_c = np.concatenate([top_c, cos], 1)
+            all_c = np.concatenate([top_c, np.round(cos, PLACES)], 1)
             all_i = np.concatenate([top_i, np.broadcast_to(rows, cos.shape)], 1)
-            best = np.argsort(-all_c, axis=1, kind="stable")[:, :k]
+            best = np.lexsort((all_i, -all_c), axis=1)[:, :k]
             top_c, top_i = np.take_along_axis(all_c, best, 1), np.take_along_axis(all_i, best, 1)
-            kth2 = np.minimum(reach2, np.where(top_c[:, -1] > -2, 2 - 2 * top_c[:, -1], reach2))
+            kth2 = np.minimum(reach2, np.where(top_c[:, -1] > -2, 2 - 2 * top_c[:, -1] + 2 * 10.0**-PLACES, reach2))
         got = (top_i >= 0) & (2 - 2 * top_c <= reach2 + 1e-9)
         q, j = np.nonzero(got)
         out.append((qb[q], top_i[q, j], top_c[q, j]))
@@ -206,16 +208,21 @@ def _search(k: int | None, reach2: float, confidence: float):
 
 
 def most_similar(
-    reps: DataFrame, k: int | None, least_cosine: float = -1.0, confidence: float = 0.99999, asks: F.Column | None = None
+    reps: DataFrame, k: int | None, least_cosine: float = -1.0, confidence: float = 0.99999, asking: DataFrame | None = None
 ) -> DataFrame:
-    """Up to ``k`` most similar other vectors (all if None) of every vector (or of those that ``asks``): rep, other, cosine.
+    """Up to ``k`` most similar other vectors (all if None) of every vector (or of those whose rep is ``asking``): rep, other, cosine.
 
-    ``reps``: rep, keys, values (unit vectors, one per direction). Only neighbours of at least
-    ``least_cosine`` are wished; a pair is missed with a probability of at most 1 - ``confidence``.
+    ``reps``: rep, keys, values (unit vectors, one per direction). With ``k`` cosines are rounded to ``PLACES``
+    and ties go by ``other``. Only neighbours of at least ``least_cosine`` are wished; a pair is missed with a probability of at most 1 - ``confidence``.
     Without a bound on the cosine a query may visit every cell, as any vector may be its neighbour.
     """
     spark = reps.sparkSession
-    points = written(with_projection(reps, WIDTH, SEED).withColumn("asks", F.lit(True) if asks is None else asks), "points")
+    points = with_projection(reps, WIDTH, SEED)
+    if asking is None:
+        points = points.withColumn("asks", F.lit(True))
+    else:
+        points = points.join(asking.select("rep", F.lit(True).alias("a")), "rep", "left").select("rep", "keys", "values", "p", F.col("a").isNotNull().alias("asks"))
+    points = written(points, "points")
     n = points.count()
     reach2 = 2 - 2 * least_cosine
     radius = float(np.sqrt(reach2 * chi2_quantile(confidence, WIDTH)))
@@ -225,11 +232,11 @@ def most_similar(
     nodes = cut_cells(np.array([r[0] for r in sample]).reshape(-1, WIDTH), cells)
     routed = points.mapInArrow(_route(nodes, radius), "rep string, keys array<bigint>, values array<double>, p array<double>, asks boolean, cell int, home boolean")
     parts = max(1, min(cells, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = routed.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_search(k, reach2, confidence), PAIR)
+    found = routed.repartition(parts, "cell").sortWithinPartitions("cell", "rep").mapInArrow(_search(k, reach2, confidence), PAIR)
     if cells == 1 or k is None:
         return found
-    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("cosine", "other")))), 1, k)
-    return found.groupBy("rep").agg(best.alias("b")).select("rep", F.explode("b").alias("b")).select("rep", "b.other", "b.cosine")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))), 1, k)
+    return found.groupBy("rep").agg(best.alias("b")).select("rep", F.explode("b").alias("b")).select("rep", "b.other", (-F.col("b.c")).alias("cosine"))
 
 
 def similar_pairs(df: DataFrame, id_col: str, map_col: str, order_col: str, least_cosine: float) -> DataFrame:
@@ -251,14 +258,23 @@ def similar_pairs(df: DataFrame, id_col: str, map_col: str, order_col: str, leas
 
 
 def nearest_of(df: DataFrame, id_col: str, map_col: str, order_col: str, k: int, asked: F.Column | None = None, confidence: float = 0.99999) -> DataFrame:
-    """The ``k`` most similar other directions of each direction that is ``asked`` (all if None): id, rank, other, cosine.
+    """The ``k`` most similar other vectors of each id that is ``asked`` (all if None): id, rank, other, cosine.
 
-    Vectors of one direction form a class that goes by its smallest id, ``id`` and ``other`` name classes. ``asked`` is
-    an expression of the column ``rep``. Every vector is searched; ties go by id. Null and empty vectors are no
-    neighbours and have none; an empty table gives no row.
+    Vectors of one direction form a class that is searched once; its members are neighbours of each other at a cosine
+    of 1, and each is a neighbour of other vectors by itself. ``asked`` is an expression of the column ``id``. Every
+    vector is searched; cosines equal in ``PLACES`` are ties and go by id. Null and empty vectors are no neighbours and
+    have none; an empty table gives no row.
     """
-    reps, _ = classes(written(vector_rows(df, id_col, map_col, order_col), "vectors"))
-    near = most_similar(written(reps, "reps"), k, confidence=confidence, asks=asked)
-    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.round("cosine", 9)).alias("c"), F.col("other")))), 1, k)
-    ranked = near.groupBy("rep").agg(best.alias("b")).select("rep", F.posexplode("b").alias("n", "v"))
-    return ranked.select(F.col("rep").alias("id"), (F.col("n") + 1).alias("rank"), F.col("v.other").alias("other"), (-F.col("v.c")).alias("cosine"))
+    reps, member = classes(written(vector_rows(df, id_col, map_col, order_col), "vectors"))
+    reps, member = written(reps, "reps"), written(member, "members")
+    wished = member if asked is None else written(member.filter(asked), "asked")
+    asking = wished.select("rep").distinct()
+    near = most_similar(reps, k, confidence=confidence, asking=None if asked is None else asking)
+    near = near.select("rep", "cosine", F.col("other").alias("of")).unionByName(asking.select("rep", F.lit(1.0).alias("cosine"), F.col("rep").alias("of")))
+    # The first k + 1 ids of a class, and of all that is near a class, are enough for each of its members.
+    first = member.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("n") <= k + 1)
+    each = near.join(first.select(F.col("rep").alias("of"), F.col("id").alias("other")), "of").select("rep", (-F.col("cosine")).alias("c"), "other")
+    each = each.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("c", "other"))).filter(F.col("n") <= k + 1)
+    best = each.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "other"))).alias("b"))
+    ranked = wished.join(best, "rep").select("id", F.posexplode(F.slice(F.filter("b", lambda x: x["other"] != F.col("id")), 1, k)).alias("n", "v"))
+    return ranked.select("id", (F.col("n") + 1).alias("rank"), F.col("v.other").alias("other"), (-F.col("v.c")).alias("cosine"))

@@ -33,8 +33,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar directions of every fiftieth one (by hash of its id), against all."""
-    asked = F.pmod(F.xxhash64("rep"), F.lit(50)) == 0
+    """The five most similar articles of every fiftieth one (by hash of its id), against all."""
+    asked = F.pmod(F.xxhash64("id"), F.lit(50)) == 0
     near = nearest_of(table(spark, sf_dir, "w4_records"), "article_id", "resonance_vector", "computed_at", 5, asked)
     return near.select(F.col("id").alias("article_id"), F.col("rank").cast("long").alias("rank"), "other", F.round("cosine", 6).alias("cosine"))
 
